@@ -12,7 +12,7 @@ MISSING_WORDS = ["na", "n/a", "null", "none", "nan", "unknown", "undefined", "-"
 # Words reported as dirt in a mostly numeric text column (compared in lower case).
 DIRTY_WORDS = ["unknown", "n/a", "none", "null", "?", "-"]
 # Signs and unit words removed from numeric text.
-NUMERIC_SIGNS = "[,$€£%]"
+NUMERIC_SIGNS = ",$€£%"
 UNIT_WORDS = r"(?i)\b(?:year|years|yr|yrs|annual|salary|usd|eur|gbp)\b"
 NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 WHOLE_NUMBER = r"^[+-]?[0-9]+$"
@@ -26,12 +26,13 @@ TRUE_WORDS = ["true", "1", "yes", "t", "y"]
 FALSE_WORDS = ["false", "0", "no", "f", "n"]
 # ----------------------------------------------------------------------------------
 
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Fixed value: the characters with the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_all(c: Column) -> Column:
     """Strip every kind of white space at both ends, not only blanks."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse_space(c: Column) -> Column:
@@ -45,7 +46,7 @@ def null_tokens_to_null(c: Column) -> Column:
 def clean_numeric_text(c: Column) -> Column:
     """Numeric text without signs and unit words, or null when no number remains."""
     text = trim_all(c)
-    bare = trim_all(F.regexp_replace(F.regexp_replace(text, NUMERIC_SIGNS, ""), UNIT_WORDS, ""))
+    bare = trim_all(F.regexp_replace(F.translate(text, NUMERIC_SIGNS, ""), UNIT_WORDS, ""))
     return F.when(~F.lower(text).isin(MISSING_WORDS) & bare.rlike(NUMBER), bare)
 
 
@@ -65,18 +66,18 @@ def text_to_boolean(c: Column) -> Column:
 
 def looks_like_float(c: Column) -> Column:
     """True when the text, without ``$ , %`` and outer white space, is a float literal."""
-    return trim_all(F.regexp_replace(c, "[$,%]", "")).rlike(FLOAT_LITERAL)
+    return trim_all(F.translate(c, "$,%", "")).rlike(FLOAT_LITERAL)
 
 
 def parses_as(c: Column, expected: str) -> Column:
     """True when the text, without ``$ ,``, is an integer or float literal."""
-    bare = trim_all(F.regexp_replace(c, "[$,]", ""))
+    bare = trim_all(F.translate(c, "$,", ""))
     return bare.rlike(INT_LITERAL if expected == "integer" else FLOAT_LITERAL)
 
 
 def looks_like_date(c: Column) -> Column:
     """Three parts separated by ``-`` or ``/``."""
-    return F.length(c) - F.length(F.regexp_replace(c, "[-/]", "")) == 2
+    return F.length(c) - F.length(F.translate(c, "-/", "")) == 2
 
 
 def parse_boolean_word(value: object) -> bool | None:

@@ -95,7 +95,6 @@ def _round(df: DataFrame, searches: list[_Search]) -> None:
     cuts: dict[str, list] = {}
     fetch: dict[str, set[int]] = {}  # regions whose values are fetched
     narrow: dict[str, set[int]] = {}  # regions that get a new sketch
-    tall = []
     for k in names:
         mine = [s for s in searches if s.key == k]
         cuts[k] = sorted({p for s in mine for p in (s.low, s.high, *s.pivots()) if p is not None})
@@ -108,45 +107,71 @@ def _round(df: DataFrame, searches: list[_Search]) -> None:
             last = 2 * len(cuts[k]) if edges[-1] is None else 2 * cuts[k].index(edges[-1])
             (fetch if s.expected() <= COLLECT_LIMIT else narrow)[k].update(range(first, last + 1, 2))
         fetch[k] -= narrow[k]
-        values = [F.col(k) if types[k] == t else F.lit(None).cast(t) for t in kinds]
-        tall.append(F.struct(F.lit(k).alias("k"), _region(F.col(k), cuts[k]).alias("r"), *[v.alias(f"v{i}") for i, v in enumerate(values)]))
-
-    def among(chosen: dict[str, set[int]]) -> Column:
-        test = F.lit(False)
-        for k, regions in chosen.items():
-            if regions:
-                test = test | ((F.col("k") == k) & F.col("r").isin(sorted(regions)))
-        return test
-
+    narrowing = any(narrow.values())
+    df = df.select(*names, *[_region(F.col(k), cuts[k]).alias(f"r_{k}") for k in names])
+    tall = []
+    for i, k in enumerate(names):
+        region = F.col(f"r_{k}")
+        # Only fetched values are told apart; all others count by region.
+        seen = F.when(region.isin(sorted(fetch[k])), F.col(k)) if fetch[k] else F.lit(None)
+        dense = F.when(region.isin(sorted(narrow[k])), F.col(k)) if narrow[k] else F.lit(None)
+        fields = [F.lit(i).alias("k"), F.when(F.col(k).isNotNull(), region).alias("r")]
+        fields += [(seen if types[k] == t else F.lit(None)).cast(t).alias(f"v{j}") for j, t in enumerate(kinds)]
+        if narrowing:
+            fields += [(dense if types[k] == t else F.lit(None)).cast(t).alias(f"d{j}") for j, t in enumerate(kinds)]
+        tall.append(F.struct(*fields))
     aggs = [F.count(F.lit(1)).alias("n")]
-    for i, _ in enumerate(kinds):
-        if any(fetch.values()):
-            aggs.append(F.sort_array(F.collect_list(F.when(among(fetch), F.col(f"v{i}")))).alias(f"f{i}"))
-        if any(narrow.values()):
-            aggs.append(_sketch(F.when(among(narrow), F.col(f"v{i}"))).alias(f"g{i}"))
-    present = F.coalesce(*[F.col(f"v{i}").isNotNull() for i in range(len(kinds))]) if len(kinds) == 1 else F.greatest(*[F.col(f"v{i}").isNotNull() for i in range(len(kinds))])
-    rows = df.select(F.inline(F.array(*tall))).filter(present).groupBy("k", "r").agg(*aggs).collect()
-    found = {(r["k"], r["r"]): r.asDict() for r in rows}
-    for s in searches:
-        kind = kinds.index(types[s.key])
-        _advance(s, cuts[s.key], {r: row for (k, r), row in found.items() if k == s.key}, kind)
-
-
-def _advance(s: _Search, cuts: list, regions: dict[int, dict], kind: int) -> None:
+    if narrowing:
+        aggs += [_sketch(F.col(f"d{j}")).alias(f"g{j}") for j in range(len(kinds))]
+    rows = df.select(F.inline(F.array(*tall))).filter("r is not null")
+    found = rows.groupBy("k", "r", *[f"v{j}" for j in range(len(kinds))]).agg(*aggs).collect()
+    for i, k in enumerate(names):
+        j = kinds.index(types[k])
+        regions: dict[int, _Region] = {}
+        for row in found:
+            if row["k"] == i:
+                regions.setdefault(row["r"], _Region()).add(row[f"v{j}"], row["n"], row[f"g{j}"] if narrowing else None)
+        for s in searches:
+            if s.key == k:
+                _advance(s, cuts[k], regions)
+
+
+class _Region:
+    """What one round found out about a region: its size, its values or its sketch."""
+
+    def __init__(self) -> None:
+        self.size = 0
+        self.values: list[tuple] = []
+        self.grid: list | None = None
+
+    def add(self, value: object, n: int, grid: list | None) -> None:
+        self.size += n
+        if value is not None:
+            self.values.append((value, n))
+        if grid:
+            self.grid = grid
+
+    def value_at(self, rank: int) -> object:
+        for value, n in sorted(self.values):
+            if rank < n:
+                return value
+            rank -= n
+        return None
+
+
+def _advance(s: _Search, cuts: list, regions: dict[int, _Region]) -> None:
     passed = 0
     for r in sorted(regions):
-        n = regions[r]["n"]
-        if s.rank < passed + n:
+        if s.rank < passed + regions[r].size:
             break
-        passed += n
+        passed += regions[r].size
     if r % 2:
         s.answer = cuts[r // 2]
         return
-    values = regions[r].get(f"f{kind}")
-    if values:
-        s.answer = values[s.rank - passed]
+    if regions[r].values:
+        s.answer = regions[r].value_at(s.rank - passed)
     s.low, s.high = (cuts[r // 2 - 1] if r else None), (cuts[r // 2] if r // 2 < len(cuts) else None)
-    s.size, s.passed, s.grid = n, passed, regions[r].get(f"g{kind}")
+    s.size, s.passed, s.grid = regions[r].size, passed, regions[r].grid
 
 
 def values_at_ranks(df: DataFrame, exprs: dict[str, Column], ranks) -> dict[str, tuple[int, dict[int, object]]]:
