@@ -231,12 +231,6 @@ def _pairs(df: DataFrame, columns: list[str]) -> list[str]:
     return chosen
 
 
-def _guarded_corr(a: Column, b: Column) -> Column:
-    """Pearson r over rows with both values, null when a side is constant."""
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
-
-
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r of two columns over all complete pairs."""
     _numeric(df, x)
@@ -268,7 +262,7 @@ def chart_corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     values = {}
     for i, pair in enumerate(pairs):
         spread = (r[f"s{i}"] or 0.0) * (r[f"t{i}"] or 0.0)
-        values[pair] = None if not spread else r[f"c{i}"] / spread
+        values[pair] = None if not spread else 1.0 if pair[0] == pair[1] else r[f"c{i}"] / spread
     return _heatmap(df, chosen, values)
 
 

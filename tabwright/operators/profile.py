@@ -95,8 +95,8 @@ def bin_index(x: Column, low: float, high: float, bins: int) -> Column:
     """
     width = (high - low) / bins
     lo, w, last = F.lit(low), F.lit(width), F.lit(bins - 1).cast("bigint")
-    i = F.least(F.floor((x - lo) / w), last)
-    return F.when(x < lo + i * w, i - F.lit(1)).when((i < last) & (x >= lo + (i + F.lit(1)) * w), i + F.lit(1)).otherwise(i)
+    i = F.least(F.floor((x - lo) / w), last)  # least skips nulls, hence the first branch
+    return F.when(x.isNull(), F.lit(None)).when(x < lo + i * w, i - F.lit(1)).when((i < last) & (x >= lo + (i + F.lit(1)) * w), i + F.lit(1)).otherwise(i)
 
 
 def histogram(df: DataFrame, bounds: dict[str, tuple[float, float]], bins: int) -> DataFrame:

@@ -45,6 +45,24 @@ VIEWS = {
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM {orders}
         UNION ALL
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM {orders} WHERE o_orderkey % 20 = 0""",
+    "worn_orders": """
+        SELECT o_custkey, o_orderstatus,
+          CASE WHEN o_orderkey % 10 < 4 THEN NULL
+               WHEN o_orderkey % 101 = 0 THEN o_totalprice * 50 ELSE o_totalprice END AS price,
+          CASE WHEN o_orderkey % 10 < 7 THEN NULL ELSE o_orderpriority END AS priority,
+          CASE WHEN o_orderkey % 4 = 0 THEN 'Unknown' ELSE concat('$', CAST(o_custkey AS VARCHAR(20))) END AS customer_text,
+          substring(CAST(o_orderdate AS VARCHAR(30)), 1, 10) AS day_text,
+          'x' AS constant_text, 7 AS constant_number
+        FROM {orders}
+        UNION ALL
+        SELECT o_custkey, o_orderstatus,
+          CASE WHEN o_orderkey % 10 < 4 THEN NULL
+               WHEN o_orderkey % 101 = 0 THEN o_totalprice * 50 ELSE o_totalprice END AS price,
+          CASE WHEN o_orderkey % 10 < 7 THEN NULL ELSE o_orderpriority END AS priority,
+          CASE WHEN o_orderkey % 4 = 0 THEN 'Unknown' ELSE concat('$', CAST(o_custkey AS VARCHAR(20))) END AS customer_text,
+          substring(CAST(o_orderdate AS VARCHAR(30)), 1, 10) AS day_text,
+          'x' AS constant_text, 7 AS constant_number
+        FROM {orders} WHERE o_orderkey % 4 = 0""",
     "date_text_orders": """
         SELECT o_orderkey,
           CASE WHEN o_orderkey % 6 = 0 THEN 'invalid'

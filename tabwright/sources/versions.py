@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 import uuid
 from typing import Any
 
@@ -31,6 +32,10 @@ RUNS = (
 )
 
 
+def now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and two order-independent sums of row hashes, one row."""
     h = row_hash(df)
@@ -97,8 +102,7 @@ class VersionedTable:
         return row
 
     def _point(self, version: int) -> None:
-        last = self._log("pointers", POINTERS).agg(F.max("sequence")).first()[0] or 0
-        self._append("pointers", POINTERS, (last + 1, version, dt.datetime.now()))
+        self._append("pointers", POINTERS, (time.time_ns(), version, now()))
 
     # --- writing ------------------------------------------------------------------
     def _store(self, df: DataFrame, branch: str, parent: int | None, operation: str, params: dict) -> int:
@@ -107,7 +111,7 @@ class VersionedTable:
         df.write.parquet(path)
         stored = self.spark.read.parquet(path)
         self._append("versions", VERSIONS, (
-            number, branch, parent, path, stored.count(), len(stored.columns), stored.schema.json(), operation, json.dumps(params), dt.datetime.now(),
+            number, branch, parent, path, stored.count(), len(stored.columns), stored.schema.json(), operation, json.dumps(params), now(),
         ))
         self._point(number)
         return number
@@ -127,10 +131,15 @@ class VersionedTable:
             after, _ = fit_transform(before, operation, params)
             number = self._store(after, branch or source["branch_name"], source["version_number"], operation, params)
         except Exception as err:
-            self._append("runs", RUNS, (run, source["version_number"], None, operation, json.dumps(params), "failed", None, str(err), dt.datetime.now()))
+            self._append("runs", RUNS, (run, source["version_number"], None, operation, json.dumps(params), "failed", None, str(err), now()))
             raise
-        summary = transform_summary(before, self.read(number)).first().asDict()
-        self._append("runs", RUNS, (run, source["version_number"], number, operation, json.dumps(params), "completed", json.dumps(summary), None, dt.datetime.now()))
+        made = self._row(number)
+        summary = {
+            "rows_before": source["row_count"], "rows_after": made["row_count"], "rows_affected": abs(source["row_count"] - made["row_count"]),
+            "columns_before": source["column_count"], "columns_after": made["column_count"],
+            "columns_affected": abs(source["column_count"] - made["column_count"]),
+        }
+        self._append("runs", RUNS, (run, source["version_number"], number, operation, json.dumps(params), "completed", json.dumps(summary), None, now()))
         return number
 
     def restore(self, version: int) -> int:
@@ -144,7 +153,7 @@ class VersionedTable:
         number = self._latest() + 1
         self._append("versions", VERSIONS, (
             number, name, version, source["path"], source["row_count"], source["column_count"], source["schema_json"],
-            "branch", json.dumps({"from_version": version}), dt.datetime.now(),
+            "branch", json.dumps({"from_version": version}), now(),
         ))
         self._point(number)
         return number
