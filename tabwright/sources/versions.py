@@ -15,7 +15,7 @@ import uuid
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabwright.functions.columns import row_hash
 from tabwright.operators.dispatch import fit_transform, transform_summary
@@ -71,7 +71,9 @@ class VersionedTable:
 
     # --- logs ---------------------------------------------------------------------
     def _append(self, log: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.base}/log/{log}")
+        fields = T.StructType.fromDDL(schema)
+        line = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]
+        self.spark.range(0, 1, 1, 1).select(*line).write.mode("append").parquet(f"{self.base}/log/{log}")
 
     def _log(self, log: str, schema: str) -> DataFrame:
         try:
