@@ -18,8 +18,9 @@ from tabwright.functions.columns import (
 )
 from tabwright.operators import facts as fx
 from tabwright.operators.profile import histogram, null_counts
-from tabwright.operators.quantiles import numeric_expr, quantiles_of, values_at_ranks
+from tabwright.operators.quantiles import numeric_expr, quantiles_of
 from tabwright.operators.scale import iqr_fences
+from tabwright.session import scratch_dir
 
 # --- fixed values ------------------------------------------------------------------
 SEED = 42
@@ -33,9 +34,9 @@ CHART_TYPES = [
 ]
 # -----------------------------------------------------------------------------------
 
-# Distinct values of one rank range; more rows make more ranges.
-RANGE_ROWS = 500_000
-MAX_RANGES = 4_000
+# Rows of one rank range; more rows make more ranges.
+RANGE_ROWS = 2_000_000
+MAX_RANGES = 50_000
 # A value with more than this share of the rows is hot.
 HOT_SHARE = 0.001
 HOT_SALTS = 32
@@ -266,65 +267,85 @@ def chart_corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return _heatmap(df, chosen, values)
 
 
-def _average_ranks(pairs: DataFrame, name: str, rows: int) -> tuple[DataFrame, list]:
-    """``(value, rank)`` with the average rank of each distinct value, and the hot values.
+def _side_counts(pairs: DataFrame) -> DataFrame:
+    """``(p, side, value, n)``: how often each value occurs on each side of each pair."""
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("value")), F.struct(F.lit(1).alias("side"), F.col("b").alias("value")))
+    return pairs.select("p", "n", F.inline(sides)).groupBy("p", "side", "value").agg(F.sum("n").alias("n"))
 
-    Values are cut into ranges at approximate quantiles; the running sum restarts in each
-    range and gets the number of rows in the ranges before, of which there are a bounded
-    number. A hot value is one row here, whatever its count.
+
+def _average_ranks(counts: DataFrame) -> DataFrame:
+    """``(p, side, value, rank)``: the average rank of each distinct value in its range, plus
+    the rows in earlier ranges. A hot value is one row here, whatever its count."""
+    upto = F.sum("n").over(Window.partitionBy("p", "side", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    average = F.col("passed") + upto - F.col("n") + (F.col("n") + F.lit(1)) / F.lit(2.0)
+    return counts.withColumn("rank", average.cast("double")).select("p", "side", "value", "rank")
+
+
+def _ranged_counts(counts: DataFrame, rows: int) -> tuple[DataFrame, list[tuple]]:
+    """The counts cut into sorted ranges of bounded size, and the hot values.
+
+    Spark's range partitioning draws the cuts. They differ from job to job, so the ranges are
+    written once to the shared scratch folder and read from there.
     """
-    counts = pairs.groupBy(F.col(name).alias("value")).agg(F.sum("n").alias("n"))
-    ranges = max(1, min(MAX_RANGES, rows // RANGE_ROWS))
-    cuts = []
-    if ranges > 1:
-        probs = "array(" + ",".join(f"{i / ranges}D" for i in range(1, ranges)) + ")"
-        cuts = sorted(set(pairs.agg(F.percentile_approx(name, F.expr(probs), 2 * ranges).alias("q")).first()["q"]))
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
-    # The position of the value among the sorted cuts.
-    at = F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda c: c < F.col("value")))
-    ranged = counts.withColumn("range", at)
-    totals = ranged.groupBy("range").agg(F.sum("n").alias("n"), F.max("n").alias("largest")).collect()
-    sizes = {r["range"]: r["n"] for r in totals}
-    before, passed = {}, 0
-    for r in sorted(sizes):
-        before[r], passed = passed, passed + sizes[r]
-    hot = [r["value"] for r in counts.filter(F.col("n") > F.lit(rows * HOT_SHARE)).select("value").collect()]
-    offsets = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])
-    upto = F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    average = F.element_at(offsets, F.col("range")) + upto - F.col("n") + (F.col("n") + F.lit(1)) / F.lit(2.0)
-    return ranged.withColumn("rank", average.cast("double")).select("value", "rank"), hot
-
-
-def _with_rank(pairs: DataFrame, name: str, other: str, rows: int, rank: str) -> DataFrame:
-    """Attach the average rank of a column. Rows of a hot value are salted by the other column."""
-    ranks, hot = _average_ranks(pairs, name, rows)
-    if not hot:
-        return pairs.join(ranks.select(F.col("value").alias(name), F.col("rank").alias(rank)), name)
-    salt = F.when(F.col(name).isin(hot), F.pmod(F.xxhash64(other), F.lit(HOT_SALTS))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(F.col("value").isin(hot), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = ranks.select(F.col("value").alias(name), F.col("rank").alias(rank), F.explode(copies).alias("salt"))
-    return pairs.withColumn("salt", salt).join(salted, [name, "salt"]).drop("salt")
-
-
-def spearman_pair(df: DataFrame, x: str, y: str) -> float | None:
-    """Correlation of average ranks over complete pairs."""
-    narrow = df.select(_double(df, x).alias("a"), _double(df, y).alias("b")).filter("a is not null and b is not null")
+    spark = counts.sparkSession
+    ranges = min(MAX_RANGES, -(-rows // RANGE_ROWS))
+    path = scratch_dir(spark, "ranks")
+    cut = counts.repartitionByRange(ranges, "p", "side", "value").withColumn("range", F.spark_partition_id())
+    cut.write.parquet(path)
+    stored = spark.read.parquet(path)
+    # One row per range and side.
+    sizes = stored.groupBy("p", "side", "range").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("p", "side").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("p", "side", "range", F.coalesce(before, F.lit(0)).alias("passed"))
+    hot = stored.filter(F.col("n") > F.lit(max(rows * HOT_SHARE, 1))).select("p", "side", "value").collect()
+    return stored.join(F.broadcast(offsets), ["p", "side", "range"]), [tuple(r) for r in hot]
+
+
+def _with_rank(pairs: DataFrame, ranks: DataFrame, side: int, hot: list[tuple]) -> DataFrame:
+    """Attach the average rank of one side. Rows of a hot value are salted by the other side."""
+    name, other, rank = ("a", "b", "ra") if side == 0 else ("b", "a", "rb")
+    mine = ranks.filter(F.col("side") == side).select("p", F.col("value").alias(name), F.col("rank").alias(rank))
+    values = sorted({v for _, s, v in hot if s == side})
+    if not values:
+        return pairs.join(mine, ["p", name])
+    is_hot = F.col(name).isin(values)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(other), F.lit(HOT_SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return pairs.withColumn("salt", salt).join(mine.withColumn("salt", F.explode(copies)), ["p", name, "salt"]).drop("salt")
+
+
+def spearman(df: DataFrame, chosen: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Correlation of average ranks over the complete rows of each pair of columns."""
+    names = list(dict.fromkeys(c for pair in chosen for c in pair))
+    narrow = df.select(*[_double(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    each = [F.struct(F.lit(i).alias("p"), F.col(f"v{names.index(x)}").alias("a"), F.col(f"v{names.index(y)}").alias("b")) for i, (x, y) in enumerate(chosen)]
+    complete = narrow.select(F.inline(F.array(*each))).filter("a is not null and b is not null")
+    seen = complete.groupBy("p").agg(F.count(F.lit(1)).alias("n"), ((F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))).alias("varies"))
+    sizes = {r["p"]: r["n"] for r in seen.collect() if r["varies"]}
+    if not sizes:
+        return dict.fromkeys(chosen)
     # Equal pairs travel as one row from here on.
-    pairs = narrow.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    r = narrow.agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("al"), F.max("a").alias("ah"), F.min("b").alias("bl"), F.max("b").alias("bh")).first()
-    if not r["n"] or r["al"] == r["ah"] or r["bl"] == r["bh"]:
-        return None
-    ranked = _with_rank(_with_rank(pairs, "a", "b", r["n"], "ra"), "b", "a", r["n"], "rb")
-    middle = (r["n"] + 1) / 2.0
-    da, db, n = F.col("ra") - F.lit(middle), F.col("rb") - F.lit(middle), F.col("n")
-    s = ranked.agg(F.sum(n * da * db).alias("ab"), F.sum(n * da * da).alias("aa"), F.sum(n * db * db).alias("bb")).first()
-    return s["ab"] / math.sqrt(s["aa"] * s["bb"])
+    pairs = complete.filter(F.col("p").isin(list(sizes))).groupBy("p", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    largest, hot = max(sizes.values()), []
+    if largest > RANGE_ROWS:
+        counts, hot = _ranged_counts(_side_counts(pairs), 2 * sum(sizes.values()))
+    else:
+        counts = _side_counts(pairs).withColumns({"range": F.lit(0), "passed": F.lit(0)})
+    ranks = _average_ranks(counts)
+    ranked = _with_rank(_with_rank(pairs, ranks, 0, hot), ranks, 1, hot)
+    middle = F.lit(0.0)
+    for p, n in sizes.items():
+        middle = F.when(F.col("p") == p, F.lit((n + 1) / 2.0)).otherwise(middle)
+    da, db, n = F.col("ra") - middle, F.col("rb") - middle, F.col("n")
+    sums = ranked.groupBy("p").agg(F.sum(n * da * db).alias("ab"), F.sum(n * da * da).alias("aa"), F.sum(n * db * db).alias("bb")).collect()
+    found = {r["p"]: r["ab"] / math.sqrt(r["aa"] * r["bb"]) for r in sums}
+    return {pair: found.get(i) for i, pair in enumerate(chosen)}
 
 
 def chart_corr_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise Spearman correlation of up to six columns."""
     chosen = _pairs(df, columns)
-    values = {pair: spearman_pair(df, *pair) for pair in itertools.combinations(chosen, 2)}
+    values = spearman(df, list(itertools.combinations(chosen, 2)))
     x = {c: _double(df, c) for c in chosen}
     r = df.agg(*[(F.min(x[c]) < F.max(x[c])).alias(f"v{i}") for i, c in enumerate(chosen)]).first()
     values.update({(c, c): 1.0 if r[f"v{i}"] else None for i, c in enumerate(chosen)})
@@ -360,7 +381,7 @@ def chart_missing_heatmap(df: DataFrame, n: int = HEATMAP_ROWS, key=None) -> Dat
 def chart_metadata(df: DataFrame) -> DataFrame:
     """Role and missing count of every column."""
     roles = [(i, f.name, role(f.dataType)) for i, f in enumerate(df.schema)]
-    table = fx.measure(df)
+    table = fx.measure(df, detail=False)
     rows = [(i, c, r, table.missing(c)) for i, c, r in roles]
     return df.sparkSession.createDataFrame(rows, "position bigint, column string, role string, missing_count bigint")
 
@@ -368,7 +389,7 @@ def chart_metadata(df: DataFrame) -> DataFrame:
 def chart_recommendations(df: DataFrame) -> DataFrame:
     """Charts that suit the column roles."""
     numbers, texts = numeric_columns(df), categorical_columns(df)
-    table = fx.measure(df)
+    table = fx.measure(df, detail=False)
     out: list[tuple[str, list[str]]] = []
     if numbers:
         out += [(kind, numbers[:1]) for kind in ("histogram", "kde", "box")]

@@ -53,10 +53,13 @@ def percentage(part: int, whole: int, digits: int | None = None) -> float:
     return share if digits is None else round(share, digits)
 
 
-def _measures(name: str, t: T.DataType, i: int) -> list[Column]:
+def _measures(name: str, t: T.DataType, i: int, detail: bool) -> list[Column]:
     c = col(name)
     out = [F.count(c).alias(f"n{i}")]
-    if is_numeric(t):
+    if not detail:
+        x = as_text(name, t) if is_nested(t) else c
+        out.append((F.min(x) == F.max(x)).alias(f"one{i}"))
+    elif is_numeric(t):
         x = c.cast("double")
         out += [F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
         out.append((F.min(c) == F.max(c)).alias(f"one{i}"))
@@ -74,14 +77,15 @@ def _measures(name: str, t: T.DataType, i: int) -> list[Column]:
     return out
 
 
-def measure(df: DataFrame) -> TableFacts:
-    """Counts, moments, bounds and text looks of all columns."""
+def measure(df: DataFrame, detail: bool = True) -> TableFacts:
+    """Counts of all columns and whether they vary; with ``detail`` also moments, bounds and
+    text looks."""
     df = normalize_non_finite(df)
     fields = list(df.schema)
     rows, facts = None, {}
     for start in range(0, max(len(fields), 1), BATCH):
         part = fields[start : start + BATCH]
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, f in enumerate(part) for m in _measures(f.name, f.dataType, i)]).first()
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, f in enumerate(part) for m in _measures(f.name, f.dataType, i, detail)]).first()
         rows = row["rows"] if rows is None else rows
         r = row.asDict()
         for i, f in enumerate(part):
@@ -93,6 +97,17 @@ def measure(df: DataFrame) -> TableFacts:
     return TableFacts(rows, facts)
 
 
+def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
+    """Least and greatest finite value of numeric columns."""
+    found = {}
+    for start in range(0, len(columns), BATCH):
+        part = columns[start : start + BATCH]
+        xs = [finite(c, dtype(df, c)).cast("double") for c in part]
+        row = df.agg(*[m for i, x in enumerate(xs) for m in (F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"))]).first()
+        found.update({c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(part)})
+    return found
+
+
 def tall(df: DataFrame, columns: list[str], value, extra: dict[str, Column] | None = None) -> DataFrame:
     """Rows ``(column, value, ...)`` for the listed columns of every row."""
     more = [c.alias(n) for n, c in (extra or {}).items()]

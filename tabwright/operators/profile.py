@@ -88,21 +88,34 @@ def iqr_outliers(df: DataFrame, order_by=None) -> DataFrame:
     )
 
 
-def bin_index(x: Column, low: float, high: float, bins: int) -> Column:
-    """The equal-width bin of a value; the last bin is closed.
-
-    A quotient next to an edge may round to the wrong side, so it is compared with the edges.
-    """
-    width = (high - low) / bins
+def _edge_fixed(x: Column, i: Column, low: float, width: float, bins: int) -> Column:
+    """The bin of a value from its rounded quotient, moved by one where the quotient next to
+    an edge fell on the wrong side."""
     lo, w, last = F.lit(low), F.lit(width), F.lit(bins - 1).cast("bigint")
-    i = F.least(F.floor((x - lo) / w), last)  # least skips nulls, hence the first branch
-    return F.when(x.isNull(), F.lit(None)).when(x < lo + i * w, i - F.lit(1)).when((i < last) & (x >= lo + (i + F.lit(1)) * w), i + F.lit(1)).otherwise(i)
+    return F.when(x < lo + i * w, i - F.lit(1)).when((i < last) & (x >= lo + (i + F.lit(1)) * w), i + F.lit(1)).otherwise(i)
+
+
+def binned(df: DataFrame, bounds: dict[str, tuple[float, float]], bins: int) -> DataFrame:
+    """``(column, bin)`` of every value in equal-width bins; the last bin is closed."""
+    df = normalize_non_finite(df)
+    last = F.lit(bins - 1).cast("bigint")
+    width = {c: (high - low) / bins for c, (low, high) in bounds.items()}
+    xs = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(bounds)])
+    quotient = [F.least(F.floor((F.col(f"x{i}") - F.lit(bounds[c][0])) / F.lit(width[c])), last).alias(f"q{i}") for i, c in enumerate(bounds)]
+    both = xs.select("*", *quotient)
+    parts = []
+    for i, c in enumerate(bounds):
+        x = F.col(f"x{i}")  # least skips nulls, so a missing value has a quotient
+        fixed = F.when(x.isNotNull(), _edge_fixed(x, F.col(f"q{i}"), bounds[c][0], width[c], bins))
+        parts.append(F.struct(F.lit(i).alias("c"), fixed.alias("bin")))
+    return both.select(F.inline(F.array(*parts))).filter("bin is not null")
 
 
 def histogram(df: DataFrame, bounds: dict[str, tuple[float, float]], bins: int) -> DataFrame:
     """``(column, bin, bin_start, bin_end, count)``, empty bins included."""
     schema = "column string, bin bigint, bin_start double, bin_end double, count bigint"
     empty = []
+    names = list(bounds)
     for c, (low, high) in bounds.items():
         width = (high - low) / bins
         edges = [low + i * width for i in range(bins)] + [high]
@@ -110,19 +123,21 @@ def histogram(df: DataFrame, bounds: dict[str, tuple[float, float]], bins: int)
     frame = df.sparkSession.createDataFrame(empty, schema)
     if not bounds:
         return frame
-    df = normalize_non_finite(df)
-    binned = fx.tall(df, list(bounds), lambda c: bin_index(col(c).cast("double"), *bounds[c], bins))
-    counts = binned.filter(F.col("value").isNotNull()).groupBy("column", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = binned(df, bounds, bins).groupBy("c", "bin").agg(F.count(F.lit(1)).alias("count"))
+    named = counts.select(F.element_at(F.array(*[F.lit(c) for c in names]), F.col("c") + F.lit(1)).alias("column"), "bin", "count")
     none = F.lit(None).cast("double")
-    both = frame.unionByName(counts.select("column", "bin", none.alias("bin_start"), none.alias("bin_end"), "count"))
+    both = frame.unionByName(named.select("column", "bin", none.alias("bin_start"), none.alias("bin_end"), "count"))
     return both.groupBy("column", "bin").agg(F.max("bin_start").alias("bin_start"), F.max("bin_end").alias("bin_end"), F.sum("count").alias("count"))
 
 
 def profile_histogram(df: DataFrame, bins: int = 10, table: TableFacts | None = None) -> DataFrame:
     """Ten bins per numeric column; constant columns have none."""
     names = numeric_columns(df)
-    table = table or fx.measure(df.select(*[col(c) for c in names]))
-    return histogram(df, {c: (table.columns[c].low, table.columns[c].high) for c in names if not table.columns[c].single}, bins)
+    if table is None:
+        ends = fx.bounds(df, names)
+    else:
+        ends = {c: (table.columns[c].low, table.columns[c].high) for c in names}
+    return histogram(df, {c: e for c, e in ends.items() if e[0] is not None and e[0] < e[1]}, bins)
 
 
 def profile_dates(df: DataFrame, table: TableFacts | None = None) -> DataFrame:

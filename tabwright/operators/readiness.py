@@ -105,7 +105,7 @@ def audit(df: DataFrame, task_type: str = "classification", target_column: str |
     if task_type not in TASKS:
         raise ValueError(f"task_type must be one of: {', '.join(TASKS)}.")
     result = Audit()
-    table = fx.measure(df)
+    table = fx.measure(df, detail=False)
     if task_type != "clustering":
         _target(df, result, table, task_type, target_column)
     # The split label is bookkeeping, not a feature.

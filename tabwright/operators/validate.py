@@ -73,11 +73,11 @@ def validate_duplicates(df: DataFrame) -> DataFrame:
 
 
 def validate_nulls(df: DataFrame) -> DataFrame:
-    return _frame(df, null_rows(fx.measure(df)))
+    return _frame(df, null_rows(fx.measure(df, detail=False)))
 
 
 def validate_constant(df: DataFrame) -> DataFrame:
-    return _frame(df, constant_rows(fx.measure(df)))
+    return _frame(df, constant_rows(fx.measure(df, detail=False)))
 
 
 def validate_finite(df: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def validate_column_names(df: DataFrame) -> DataFrame:
 
 
 def all_rows(df: DataFrame) -> list[tuple]:
-    table = fx.measure(df)
+    table = fx.measure(df, detail=False)
     return [
         *non_empty_rows(table), *name_rows(df.columns), *duplicate_rows(fx.duplicates(df)),
         *null_rows(table), *finite_rows(df), *constant_rows(table),
