@@ -69,6 +69,9 @@ add("chart_missing_heatmap", report("dirty_events", ch.chart_missing_heatmap, 20
 _roles = {"event_id": "numeric", "ts": "date", "user_id": "numeric", "event_type": "categorical", "value": "numeric", "amount_text": "categorical", "flag_text": "categorical", "constant_text": "categorical"}
 add("chart_metadata", report("dirty_events", ch.chart_metadata), " UNION ALL ".join(
     f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS \"column\", '{r}' AS role, count(*) - count({c}) AS missing_count FROM dirty_events" for i, (c, r) in enumerate(_roles.items())))
-add("chart_recommendations", report("dirty_events", ch.chart_recommendations))
+add("chart_recommendations", report("dirty_events", ch.chart_recommendations),
+    "SELECT CAST(r AS BIGINT) AS rank, k AS chart_type, c AS columns FROM (VALUES (1, 'histogram', 'event_id'), (2, 'kde', 'event_id'), (3, 'box', 'event_id'), (4, 'bar', 'event_type'), "
+    "(5, 'scatter', 'event_id,user_id'), (6, 'correlation_heatmap', 'event_id,user_id,value'), (7, 'grouped_box', 'event_id,event_type'), (8, 'missing_bar', ''), (9, 'missing_heatmap', '')) t(r, k, c) "
+    "WHERE r < 8 OR (SELECT count(*) FROM dirty_events WHERE event_type IS NULL OR value IS NULL) > 0")
 add("distribution_stats", report("spiky_events", ch.distribution_stats, "value"),
     "SELECT count(value) AS count, avg(value) AS mean, quantile_cont(value, 0.5) AS median, min(value) AS min, max(value) AS max FROM spiky_events WHERE NOT isnan(value) AND NOT isinf(value)")

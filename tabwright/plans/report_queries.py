@@ -198,7 +198,14 @@ add("contract_missing", report("dirty_events", ct.contract_issues, CONTRACT, ["m
 add("contract_from_schema", report("orders", ct.contract_from_schema),
     "SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'float' WHEN 'TIMESTAMP' THEN 'datetime' ELSE 'string' END AS data_type, "
     "true AS required, true AS nullable FROM (DESCRIBE SELECT * FROM orders)")
-add("contract_columns", report("dirty_events", ct.contract_columns, CONTRACT))
+_column_kinds = (
+    ("event_id", "integer", "bigint", "count(CASE WHEN event_id IS NULL OR event_id < 0 THEN 1 END)", "constraint_violation"), ("ts", "date", "timestamp_ntz", "1", "type_mismatch"),
+    ("user_id", "string", "bigint", "1", "type_mismatch"), ("event_type", "string", "string", "count(CASE WHEN event_type IS NULL OR event_type NOT IN ('click', 'view', 'purchase') THEN 1 END)", "constraint_violation"),
+    ("value", "float", "double", "count(CASE WHEN value IS NULL OR value < 1 OR value > 100 THEN 1 END)", "constraint_violation"), ("amount_text", "integer", "string", "1", "type_mismatch"),
+    ("flag_text", "string", "string", "count(CASE WHEN NOT regexp_matches(flag_text, '^(?:yes|F$)') THEN 1 END)", "constraint_violation"),
+)
+add("contract_columns", report("dirty_events", ct.contract_columns, CONTRACT), "SELECT 'constant_text' AS \"column\", 'unexpected' AS status, CAST(NULL AS VARCHAR) AS expected_type, 'string' AS actual_type UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{c}', CASE WHEN k > 0 THEN '{bad}' ELSE 'matched' END, '{e}', '{t}' FROM (SELECT {k} AS k FROM dirty_events LIMIT 1)" for c, e, t, k, bad in _column_kinds))
 add("contract_report", report("dirty_events", ct.contract_report, CONTRACT),
     f"SELECT CASE WHEN count(CASE WHEN severity = 'critical' THEN 1 END) > 0 THEN 'incompatible' WHEN count(*) > 0 THEN 'warnings' ELSE 'compatible' END AS compatibility_status, "
     f"CAST({len(CONTRACT)} AS BIGINT) AS total_expected_columns, CAST({len(CONTRACT) - 2} AS BIGINT) AS matched_columns_count, 'session,note' AS missing_columns, "

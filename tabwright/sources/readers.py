@@ -54,23 +54,30 @@ def apply_types(df: DataFrame, types: dict[str, str], strict: bool = True) -> Da
     return df.select(*[typed(c).alias(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = UTF8, multi_line: bool = False) -> DataFrame:
-    """Delimited text with a header row; types from all rows; a malformed row is an error.
+def _text_schema(schema: str | T.StructType) -> tuple[T.StructType, dict[str, str]]:
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in declared]), {f.name: f.dataType.simpleString() for f in declared}
+
 
+def read_csv(
+    spark: SparkSession, path: str, encoding: str = UTF8, multi_line: bool = False, schema: str | T.StructType | None = None,
+) -> DataFrame:
+    """Delimited text with a header row; a malformed row or cell is an error.
+
+    Types come from all rows, which costs one more pass over the files, or from ``schema``.
     Cells with line breaks need ``multi_line``, which reads each file in one task.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", encoding=encoding, multiLine=multi_line, escape='"')
-    raw = null_tokens(raw)
-    return apply_types(raw, infer_types(raw))
+    texts, types = _text_schema(schema) if schema is not None else (None, None)
+    raw = null_tokens(spark.read.csv(path, schema=texts, header=True, mode="FAILFAST", encoding=encoding, multiLine=multi_line, escape='"'))
+    return apply_types(raw, types or infer_types(raw))
 
 
 def read_csv_permissive(spark: SparkSession, path: str, schema: str | T.StructType, encoding: str = UTF8) -> DataFrame:
     """Delimited text read with declared types: a cell that does not fit is null, a row with
     the wrong number of cells is kept as far as it goes."""
-    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in declared] + [T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.csv(path, schema=texts, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding=encoding, escape='"')
-    return apply_types(null_tokens(raw.drop(CORRUPT)), {f.name: f.dataType.simpleString() for f in declared}, strict=False)
+    texts, types = _text_schema(schema)
+    raw = spark.read.csv(path, schema=texts.add(CORRUPT, "string"), header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding=encoding, escape='"')
+    return apply_types(null_tokens(raw.drop(CORRUPT)), types, strict=False)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -38,6 +38,9 @@ def test_csv_problems(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1, 2), (3, None), (4, 5)]
     bad = write(tmp_path, "bad.csv", "a,b\n1,x\ny,2.5\n")
     assert [tuple(r) for r in readers.read_csv_permissive(spark, bad, "a bigint, b double").collect()] == [(1, None), (None, 2.5)]
+    assert [tuple(r) for r in readers.read_csv(spark, write(tmp_path, "ok.csv", "a,b\n1,x\nNA,2.5\n"), schema="a bigint, b string").collect()] == [(1, "x"), (None, "2.5")]
+    with pytest.raises(Exception):
+        readers.read_csv(spark, bad, schema="a bigint, b double").collect()
     with pytest.raises(ValueError, match="0 rows"):
         readers.read_table(spark, write(tmp_path, "header.csv", "a,b\n"))
     with pytest.raises(ValueError, match="Unsupported"):
