@@ -16,6 +16,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -31,6 +33,14 @@ BATCH = 8
 _GRID = "array(" + ",".join(f"{i / GRID_STEPS}D" for i in range(GRID_STEPS + 1)) + ")"
 
 
+class Found(NamedTuple):
+    """A value, how many values lie below it, and how often it occurs."""
+
+    value: object
+    below: int
+    equal: int
+
+
 @dataclass
 class _Search:
     """The value at ``rank`` lies strictly between ``low`` and ``high``."""
@@ -40,9 +50,11 @@ class _Search:
     size: int  # values between the bounds
     passed: int  # values up to and including the lower bound
     grid: list | None
+    least: object  # bounds of the whole column
+    greatest: object
     low: object = None
     high: object = None
-    answer: object = None
+    answer: Found | None = None
 
     def pivots(self) -> list:
         """The grid values around the wanted position; none when the region is small or
@@ -55,9 +67,16 @@ class _Search:
             p for p in {self.grid[max(at - 1, 0)], self.grid[min(at + 2, last)]}
             if (self.low is None or p > self.low) and (self.high is None or p < self.high)
         ]
-        if not inside:  # sketch values rounded onto the bounds
-            inside = [self.low + (self.high - self.low) // 2]
-        return sorted(inside)
+        return sorted(inside) or [self.middle()]
+
+    def middle(self) -> object:
+        """A value between the bounds, for long integers and decimals that the sketch, which
+        works on doubles, rounded out of the region."""
+        low = self.least if self.low is None else self.low
+        high = self.greatest if self.high is None else self.high
+        unit = Decimal(1).scaleb(low.as_tuple().exponent) if isinstance(low, Decimal) else 1
+        half = (high - low) // unit // 2 * unit
+        return low + half if self.low is None else high - half
 
     def expected(self) -> int:
         """How many values the next region will hold, by the error bound of the sketch."""
@@ -78,12 +97,15 @@ def _region(e: Column, cuts: list, first: int = 0) -> Column:
     return F.when(e < cut, below).when(e == cut, F.lit(2 * (first + mid) + 1)).otherwise(above)
 
 
-def _start(df: DataFrame, names: list[str]) -> dict[str, tuple[int, list | None]]:
+def _start(df: DataFrame, names: list[str]) -> dict[str, tuple]:
+    """Count, sketch, least and greatest value per column."""
     found = {}
     for i in range(0, len(names), BATCH):
         part = names[i : i + BATCH]
-        row = df.agg(*[x for k in part for x in (F.count(k).alias(f"n_{k}"), _sketch(F.col(k)).alias(f"g_{k}"))]).first()
-        found.update({k: (row[f"n_{k}"], row[f"g_{k}"]) for k in part})
+        row = df.agg(*[
+            x for k in part for x in (F.count(k).alias(f"n_{k}"), _sketch(F.col(k)).alias(f"g_{k}"), F.min(k).alias(f"a_{k}"), F.max(k).alias(f"b_{k}"))
+        ]).first()
+        found.update({k: tuple(row[f"{m}_{k}"] for m in "ngab") for k in part})
     return found
 
 
@@ -151,11 +173,11 @@ class _Region:
         if grid:
             self.grid = grid
 
-    def value_at(self, rank: int) -> object:
+    def value_at(self, rank: int, passed: int) -> Found | None:
         for value, n in sorted(self.values):
-            if rank < n:
-                return value
-            rank -= n
+            if rank < passed + n:
+                return Found(value, passed, n)
+            passed += n
         return None
 
 
@@ -166,15 +188,15 @@ def _advance(s: _Search, cuts: list, regions: dict[int, _Region]) -> None:
             break
         passed += regions[r].size
     if r % 2:
-        s.answer = cuts[r // 2]
+        s.answer = Found(cuts[r // 2], passed, regions[r].size)
         return
     if regions[r].values:
-        s.answer = regions[r].value_at(s.rank - passed)
+        s.answer = regions[r].value_at(s.rank, passed)
     s.low, s.high = (cuts[r // 2 - 1] if r else None), (cuts[r // 2] if r // 2 < len(cuts) else None)
     s.size, s.passed, s.grid = regions[r].size, passed, regions[r].grid
 
 
-def values_at_ranks(df: DataFrame, exprs: dict[str, Column], ranks) -> dict[str, tuple[int, dict[int, object]]]:
+def values_at_ranks(df: DataFrame, exprs: dict[str, Column], ranks) -> dict[str, tuple[int, dict[int, Found]]]:
     """For each expression its non-null count and the values at the wanted 0-based ranks.
 
     ``ranks(n)`` names the ranks for a column with ``n`` values.
@@ -187,7 +209,7 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, Column], ranks) -> dict[str,
     start = _start(df, list(names))
     for i in range(0, len(names), BATCH):
         part = list(names)[i : i + BATCH]
-        searches = [_Search(k, r, start[k][0], 0, start[k][1]) for k in part if start[k][0] for r in sorted(set(ranks(start[k][0])))]
+        searches = [_Search(k, r, start[k][0], 0, *start[k][1:]) for k in part if start[k][0] for r in sorted(set(ranks(start[k][0])))]
         while waiting := [s for s in searches if s.answer is None]:
             _round(df, waiting)
         result.update({names[k]: (start[k][0], {s.rank: s.answer for s in searches if s.key == k}) for k in part})
@@ -208,7 +230,7 @@ def quantiles_of(df: DataFrame, exprs: dict[str, Column], probs: Sequence[float]
         line = []
         for p in probs:
             position = (n - 1) * p
-            low, high = float(at[math.floor(position)]), float(at[math.ceil(position)])
+            low, high = float(at[math.floor(position)].value), float(at[math.ceil(position)].value)
             line.append(low + (high - low) * (position - math.floor(position)))
         result[key] = line
     return result

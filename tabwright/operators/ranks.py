@@ -55,18 +55,16 @@ def rows_from_rank(df: DataFrame, keys: list[str], offset: int, n: int) -> DataF
     rest = offset
     for name in keys:
         for digit in _digits(df, name):
-            size, found = next(iter(values_at_ranks(tied, {"d": digit}, lambda k: [min(rest, k - 1)] if k else []).values()))
-            if not size or rest >= size:
+            size, found = values_at_ranks(tied, {"d": digit}, lambda k: [min(rest, k - 1)] if k else [])["d"]
+            if rest >= size:
                 return df.orderBy(*order).limit(0)
-            value = F.lit(next(iter(found.values())))
-            counts = tied.agg(F.count_if(digit < value).alias("lt"), F.count_if(digit == value).alias("eq")).first()
-            behind = equal & (digit > value)
+            value, below, crowd = found[rest]
+            behind = equal & (digit > F.lit(value))
             after = behind if after is None else after | behind
-            equal = equal & (digit == value)
-            tied, rest = df.filter(equal), rest - counts["lt"]
-            if counts["eq"] <= SHALLOW:
+            equal = equal & (digit == F.lit(value))
+            tied, rest = df.filter(equal), rest - below
+            if crowd <= SHALLOW:
                 return df.filter(equal | after).orderBy(*order).offset(rest).limit(n)
     # The boundary is a crowd of identical rows: take as many as the page still holds.
-    crowd = tied.count()
     first = tied.limit(min(n, crowd - rest))
-    return first.unionByName(df.filter(after).orderBy(*order).limit(n - min(n, crowd - rest))) if crowd - rest < n else first
+    return first.unionByName(df.filter(after).orderBy(*order).limit(n - (crowd - rest))) if crowd - rest < n else first

@@ -22,6 +22,11 @@ def shuffle_key(df: DataFrame, key: list[str], seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
+def tie_key(df: DataFrame) -> Column:
+    """52 bits of the row hash, for rows with equal keys."""
+    return F.shiftright(row_hash(df), 12)
+
+
 @dataclass(frozen=True)
 class TrainTestSplit(Transform):
     """Rows in the order of ``md5(seed|key)``: first train, then validation, then test.
@@ -46,7 +51,7 @@ class TrainTestSplit(Transform):
             raise ValueError("test_size and validation_size must be between 0 and 1.")
         if test + val >= 1:
             raise ValueError("test_size and validation_size must sum to less than 1.")
-        h1, h2 = shuffle_key(df, self.key(df), int(self.random_state)), row_hash(df)
+        h1, h2 = shuffle_key(df, self.key(df), int(self.random_state)), tie_key(df)
         sizes = {}
 
         def cut_ranks(n: int) -> list[int]:
@@ -59,11 +64,16 @@ class TrainTestSplit(Transform):
         _, at = values_at_ranks(df, {"h": h1}, cut_ranks)["h"] if df.columns else (0, {})
         if "n" not in sizes:
             raise ValueError("Dataset too small for train/test split.")
-        ranks = [sizes["train"], sizes["train"] + sizes["val"]]
-        inner = [r for r in ranks if r < sizes["n"]]
-        below = df.agg(*[F.count_if(h1 < F.lit(at[r])).alias(f"lt{i}") for i, r in enumerate(inner)]).first() if inner else ()
-        passed = dict(zip(inner, below))
-        cuts = [self._cut(df, h1, h2, at[r], r - passed[r]) if r < sizes["n"] else None for r in ranks]
+        cuts: list[list | None] = []
+        known: dict[tuple[int, int], list] = {}
+        for rank in (sizes["train"], sizes["train"] + sizes["val"]):
+            if rank >= sizes["n"]:
+                cuts.append(None)
+                continue
+            value, below, _ = at[rank]
+            if (value, rank - below) not in known:
+                known[value, rank - below] = self._cut(df, h1, h2, value, rank - below)
+            cuts.append(known[value, rank - below])
         return {"train_rows": sizes["train"], "val_rows": sizes["val"], "test_rows": sizes["test"], "cuts": cuts}
 
     @staticmethod
@@ -75,13 +85,11 @@ class TrainTestSplit(Transform):
         """
         if before == 0:
             return [value, None, 0, 0]
-        tied = df.filter(h1 == F.lit(value))
-        second = values_at_ranks(tied, {"h": h2}, lambda n: [before])["h"][1][before]
-        row = tied.agg(F.count_if(h2 < F.lit(second)).alias("lt"), F.count_if(h2 == F.lit(second)).alias("eq")).first()
-        return [value, second, before - row["lt"], row["eq"]]
+        second, below, equal = values_at_ranks(df.filter(h1 == F.lit(value)), {"h": h2}, lambda n: [before])["h"][1][before]
+        return [value, second, before - below, equal]
 
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
-        h1, h2 = shuffle_key(df, self.key(df), int(self.random_state)), row_hash(df)
+        h1, h2 = shuffle_key(df, self.key(df), int(self.random_state)), tie_key(df)
         train_cut, val_cut = fitted["cuts"]
 
         def before(cut: list | None) -> Column:

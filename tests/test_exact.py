@@ -3,6 +3,8 @@ rounds run."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,7 +45,14 @@ def test_quantiles_skip_missing_and_handle_long_integers(spark, monkeypatch):
     assert got == {"x": [2.0]}
     big = [2**60 + i for i in range(200)]
     _, at = quantiles.values_at_ranks(numbers(spark, big, "bigint"), {"x": F.col("x")}, lambda n: [0, 77, n - 1])["x"]
-    assert at == {0: big[0], 77: big[77], 199: big[199]}
+    assert {r: f.value for r, f in at.items()} == {0: big[0], 77: big[77], 199: big[199]} and at[77].below == 77 and at[77].equal == 1
+    rng = np.random.default_rng(1)
+    for values in ([2**62 + 1] * 50 + [2**62 + 3] * 50 + [5], [-(2**62) + int(i) for i in rng.integers(0, 30, 200)], [2**61 - 1] * 60):
+        _, at = quantiles.values_at_ranks(numbers(spark, values, "bigint"), {"x": F.col("x")}, lambda n: range(0, n, 7))["x"]
+        assert {r: tuple(f) for r, f in at.items()} == {r: (v := sorted(values)[r], sum(x < v for x in values), values.count(v)) for r in at}
+    tiny = [Decimal(f"1234567890123456789.0000000{i % 10}") for i in range(80)]
+    _, at = quantiles.values_at_ranks(numbers(spark, tiny, "decimal(38,8)"), {"x": F.col("x")}, lambda n: [0, 33, 79])["x"]
+    assert {r: f.value for r, f in at.items()} == {r: sorted(tiny)[r] for r in at}
     assert quantiles.exact_quantiles(numbers(spark, [None, None]), ["x"], [0.5]) == {"x": [None]}
 
 
