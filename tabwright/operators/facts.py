@@ -36,7 +36,6 @@ class ColumnFacts:
     last_text: str | None = None
     numeric_looks: int = 0
     date_looks: int = 0
-    dirty: list[str] | None = None
 
 
 @dataclass
@@ -56,24 +55,23 @@ def percentage(part: int, whole: int, digits: int | None = None) -> float:
 def _measures(name: str, t: T.DataType, i: int, detail: bool) -> list[Column]:
     c = col(name)
     out = [F.count(c).alias(f"n{i}")]
+    if is_numeric(t) or is_date(t) or isinstance(t, T.BooleanType):
+        out.append((F.min(c) == F.max(c)).alias(f"one{i}"))
+    else:
+        # Text in the buffer would keep the aggregate from running as generated code, so
+        # hashes are compared first; equal ones are checked on the texts.
+        h = F.when(c.isNotNull(), F.xxhash64(as_text(name, t)))
+        out.append((F.min(h) == F.max(h)).alias(f"hash{i}"))
     if not detail:
-        x = as_text(name, t) if is_nested(t) else c
-        out.append((F.min(x) == F.max(x)).alias(f"one{i}"))
-    elif is_numeric(t):
+        return out
+    if is_numeric(t):
         x = c.cast("double")
         out += [F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
-        out.append((F.min(c) == F.max(c)).alias(f"one{i}"))
     elif is_date(t):
-        out += [F.min(c).cast("string").alias(f"first{i}"), F.max(c).cast("string").alias(f"last{i}"), (F.min(c) == F.max(c)).alias(f"one{i}")]
-    else:
+        out += [F.min(c).cast("string").alias(f"first{i}"), F.max(c).cast("string").alias(f"last{i}")]
+    elif not isinstance(t, T.BooleanType):
         text = as_text(name, t)
-        out += [
-            F.count_if(looks_like_float(text)).alias(f"num{i}"),
-            F.count_if(looks_like_date(text)).alias(f"date{i}"),
-            # Six words in different cases: a bounded set.
-            F.slice(F.sort_array(F.collect_set(F.when(F.lower(text).isin(DIRTY_WORDS), text))), 1, 5).alias(f"dirty{i}"),
-            (F.min(text) == F.max(text)).alias(f"one{i}"),
-        ]
+        out += [F.count_if(looks_like_float(text)).alias(f"num{i}"), F.count_if(looks_like_date(text)).alias(f"date{i}")]
     return out
 
 
@@ -82,21 +80,38 @@ def measure(df: DataFrame, detail: bool = True) -> TableFacts:
     text looks."""
     df = normalize_non_finite(df)
     fields = list(df.schema)
-    rows, facts = None, {}
+    rows, facts, unsure = None, {}, []
     for start in range(0, max(len(fields), 1), BATCH):
         part = fields[start : start + BATCH]
         row = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, f in enumerate(part) for m in _measures(f.name, f.dataType, i, detail)]).first()
         rows = row["rows"] if rows is None else rows
         r = row.asDict()
         for i, f in enumerate(part):
+            if r.get(f"hash{i}"):
+                unsure.append(f.name)
             facts[f.name] = ColumnFacts(
-                f.name, f.dataType, r[f"n{i}"], r[f"one{i}"] is not False,
+                f.name, f.dataType, r[f"n{i}"], r.get(f"one{i}", r.get(f"hash{i}")) is not False,
                 r.get(f"mean{i}"), r.get(f"std{i}"), r.get(f"min{i}"), r.get(f"max{i}"),
-                r.get(f"first{i}"), r.get(f"last{i}"), r.get(f"num{i}", 0), r.get(f"date{i}", 0), r.get(f"dirty{i}"),
+                r.get(f"first{i}"), r.get(f"last{i}"), r.get(f"num{i}", 0), r.get(f"date{i}", 0),
             )
+    if unsure:
+        texts = {c: as_text(c, dtype(df, c)) for c in unsure}
+        same = df.agg(*[(F.min(x) == F.max(x)).alias(f"one{i}") for i, x in enumerate(texts.values())]).first()
+        for i, c in enumerate(unsure):
+            facts[c].single = same[i]
     return TableFacts(rows, facts)
 
 
+def dirty_samples(df: DataFrame, columns: list[str], n: int = 5) -> dict[str, list[str]]:
+    """The first texts of each column that stand for "missing" in a numeric column: six words
+    in different cases, so a bounded set."""
+    if not columns:
+        return {}
+    texts = {c: as_text(c, dtype(df, c)) for c in columns}
+    row = df.agg(*[F.sort_array(F.collect_set(F.when(F.lower(x).isin(DIRTY_WORDS), x))).alias(f"d{i}") for i, x in enumerate(texts.values())]).first()
+    return {c: row[i][:n] for i, c in enumerate(columns)}
+
+
 def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
     """Least and greatest finite value of numeric columns."""
     found = {}

@@ -33,7 +33,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def profile_table(df: DataFrame, table: TableFacts | None = None, copies: int | None = None) -> DataFrame:
     """Size, duplicates and missing cells, one row."""
-    table = table or fx.measure(df)
+    table = table or fx.measure(df, detail=False)
     copies = fx.duplicates(df) if copies is None else copies
     holes = sum(table.missing(c) for c in table.columns)
     row = (table.rows, len(table.columns), copies, percentage(copies, table.rows), holes, percentage(holes, table.rows * len(table.columns)))
@@ -180,14 +180,15 @@ def date_string_check(df: DataFrame) -> DataFrame:
 def mixed_type_check(df: DataFrame) -> DataFrame:
     """How many values of each text column look like numbers."""
     table = _text_facts(df)
-    rows = [(c, f.present, f.numeric_looks, is_mixed(f), table.rows - f.numeric_looks, "|".join(f.dirty or [])) for c, f in table.columns.items()]
+    dirty = fx.dirty_samples(df, list(table.columns))
+    rows = [(c, f.present, f.numeric_looks, is_mixed(f), table.rows - f.numeric_looks, "|".join(dirty[c])) for c, f in table.columns.items()]
     return df.sparkSession.createDataFrame(rows, "column string, non_null_count bigint, numeric_looks bigint, is_mixed boolean, affected_rows bigint, dirty_samples string")
 
 
 def profile_categorical(df: DataFrame, table: TableFacts | None = None, distinct: dict[str, int] | None = None) -> DataFrame:
     """Text, boolean and nested columns: distinct values and their share of all rows."""
     names = categorical_columns(df)
-    table = table or _text_facts(df)
+    table = table or fx.measure(df.select(*[col(c) for c in names]), detail=False)
     distinct = distinct or fx.distinct_counts(df, names)
     rows = []
     for c in names:
