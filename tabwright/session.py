@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,14 +34,12 @@ def build_session(app_name: str = "tabwright", cores: str | None = None) -> Spar
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Every executor must reach the folder, so a machine-local one is only made up for a
-    local master (tests, laptop runs).
+    Where that setting is missing, a folder below ``spark.sql.warehouse.dir`` takes its
+    place, because every executor reaches the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tabwright-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
