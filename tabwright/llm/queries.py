@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.llm.exact_dedup import exact_dedup
 from tabwright.llm.language_id import identify
+from tabwright.llm.packing import pack
 from tabwright.llm.sharding import shard
 from tabwright.llm.token_counts import count_tokens
+from tabwright.llm.url_filter import filter_urls
+from tabwright.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,10 +29,31 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is the document that it was made from; a label of that
+    document (poor or toxic) is a label of the url."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    made_from = F.regexp_extract("url", r"^[^?#]*?://[^/?#]*/[^?#]*?([0-9]+)[^0-9/?#]*/?(?:[?#].*)?$", 1).try_cast("bigint")
+    urls = pages.select("url", made_from.alias("doc_id"))
+    labelled = urls.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return filter_urls(pages, labelled, URL_RULES)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER, 1024)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 24)
 
@@ -38,10 +62,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-for query in (op1_token_counts, op4_exact_dedup, op7_sharding, op8_language_id):
+for query in (op1_token_counts, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id):
     QUERIES[query.__name__] = query
 
 ORACLES["op4_exact_dedup"] = """
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
       sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW w AS (PARTITION BY sha256(coalesce(text, '')))"""
+
+ORACLES["op6_warc"] = """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+    FROM g"""
