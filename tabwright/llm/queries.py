@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.llm.exact_dedup import exact_dedup
 from tabwright.llm.language_id import identify
+from tabwright.llm.near_dedup import near_duplicates
 from tabwright.llm.packing import pack
 from tabwright.llm.sharding import shard
 from tabwright.llm.token_counts import count_tokens
@@ -62,7 +63,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-for query in (op1_token_counts, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id):
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+for query in (op1_token_counts, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op10_minhash):
     QUERIES[query.__name__] = query
 
 ORACLES["op4_exact_dedup"] = """
