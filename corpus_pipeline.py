@@ -1,3 +1,58 @@
-"""The corpus pipeline: stages that hand documents on as Parquet."""
+"""The corpus pipeline: stages over documents, each handed on as Parquet."""
 
-STAGES = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tabwright.llm.common import written
+from tabwright.llm.decontaminate import without_leaks
+from tabwright.llm.language_id import reject_unknown
+from tabwright.llm.line_dedup import without_repeats
+from tabwright.llm.near_dedup import keep_one_of_each
+from tabwright.llm.packing import pack
+from tabwright.llm.queries import SEQUENCE, TOKENIZER, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language that the model holds likely."""
+    return reject_unknown(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of lines that repeat are kept once; texts made of such passages alone go."""
+    return without_repeats(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return pack(docs, TOKENIZER, SEQUENCE)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing),
+]
+
+# The stages work on models and iterations that SQL does not express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabwright.llm.decontaminate import find_leaks
 from tabwright.llm.exact_dedup import exact_dedup
 from tabwright.llm.language_id import identify
+from tabwright.llm.line_dedup import dedup_lines
 from tabwright.llm.near_dedup import near_duplicates
 from tabwright.llm.packing import pack
 from tabwright.llm.sharding import shard
@@ -22,6 +24,9 @@ ORACLES: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+SEQUENCE = 1024  # tokens of a packed sequence
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,6 +35,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -48,7 +57,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), TOKENIZER, 1024)
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER, SEQUENCE)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +72,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lines", "removed_lines", "text")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-for query in (op1_token_counts, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op10_minhash):
+for query in (op1_token_counts, op2_decontamination, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op9_line_dedup, op10_minhash):
     QUERIES[query.__name__] = query
 
 ORACLES["op4_exact_dedup"] = """
