@@ -21,6 +21,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 WIDTH, OVERLAP = 5, 0.8  # words of a shingle; share of an item's shingles that is a leak
 BLOCK = 8  # postings of a block
+ITEM_BLOCK = 4  # items whose largest impacts are summed before a passage is searched
+BOUNDS_AT_ONCE = 2_000_000  # bounds of (passage, block of items) held at a time
 # Bytes of benchmark texts in one index; a larger benchmark is worked through in parts.
 INDEX_BYTES = 32 << 20
 WORD = re.compile(r"\w+")
@@ -44,6 +46,13 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return own[: (len(own) + 1) // 2], own[(len(own) + 1) // 2 :]
 
 
+def _block_tops(items: list[int], impacts: list[float]) -> dict[int, float]:
+    tops: dict[int, float] = {}
+    for item, impact in zip(items, impacts):
+        tops[item // ITEM_BLOCK] = max(impact, tops.get(item // ITEM_BLOCK, 0.0))
+    return tops
+
+
 class Index:
     """Inverted index of test items. Impacts are BM25 parts over the item's score for itself, so
     a passage that holds all words of an item scores 1 whatever the item's length."""
@@ -68,6 +77,12 @@ class Index:
         self.most = np.array([max(x) for x in self.impacts] + [0.0])  # the last: a word of no item
         self.block_last = [[x[min(k + BLOCK, len(x)) - 1] for k in range(0, len(x), BLOCK)] for x in self.items]
         self.block_most = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impacts]
+        # Per term the item blocks that it occurs in and its largest impact in each, in one table.
+        self.blocks = -(-max(1, len(items)) // ITEM_BLOCK)
+        tops = [_block_tops(i, x) for i, x in zip(self.items, self.impacts)]
+        self.tops_at = np.concatenate([[0], np.cumsum([len(t) for t in tops] + [0])]).astype(np.int64)
+        self.tops_block = np.array([b for t in tops for b in t], np.int64)
+        self.tops_most = np.array([x for t in tops for x in t.values()], np.float64)
         parts = [question_and_answer(t) for _, t in items]
         self.questions, self.answers = [shingles(q) for q, _ in parts], [shingles(a) for _, a in parts]
         self.answer_width = [min(WIDTH, len(a)) for _, a in parts]
@@ -144,15 +159,11 @@ class Index:
         before = np.full(len(terms), -1, np.int64)
         same = terms[order[1:]] == terms[order[:-1]]
         before[order[1:][same]] = order[:-1][same]
-        weights, step = self.most[terms], self.longest
-        for start in range(0, max(1, len(terms) - step), step):
+        step = self.longest
+        for start, window in self._promising(terms, known, before, step, max(1, -(-(len(terms) - step) // step))):
             end = start + 2 * step
-            fresh = before[start:end] < start
-            if weights[start:end][fresh].sum() < THRESHOLD - 1e-9:
-                continue
-            window = terms[start:end]
             passage = None
-            for item, score in self.above(window[fresh & (window != none)].tolist(), THRESHOLD):
+            for item, score in self.above(window.tolist(), THRESHOLD):
                 if passage is None:
                     passage = parts[start:end]
                 question = self._share(self.questions[item], self.question_width[item], passage)
@@ -162,6 +173,35 @@ class Index:
                     found[item] = (start, score, question, answer)
         return found
 
+    def _promising(self, terms: np.ndarray, known: np.ndarray, before: np.ndarray, step: int, windows: int) -> Iterator[tuple[int, np.ndarray]]:
+        """``(first word, distinct terms)`` of the windows that may hold an item above the threshold:
+        the largest impacts of their terms within some block of items add up to it."""
+        least = THRESHOLD - 1e-9
+        # A word lies in the window begun at its own step and in the one before.
+        at = np.concatenate([known, known])
+        window = np.concatenate([known // step, known // step - 1])
+        own = (window >= 0) & (window < windows) & (before[at] < window * step)
+        at, window = at[own], window[own]
+        term = terms[at]
+        bound = np.bincount(window, self.most[term], windows)
+        own = bound[window] >= least
+        window, term = window[own], term[own]
+        order = np.argsort(window, kind="stable")
+        window, term = window[order], term[order]
+        room = max(1, BOUNDS_AT_ONCE // self.blocks)
+        for first in range(0, windows, room):
+            lo, hi = np.searchsorted(window, [first, first + room])
+            if lo == hi:
+                continue
+            w, t = window[lo:hi] - first, term[lo:hi]
+            sizes = self.tops_at[t + 1] - self.tops_at[t]
+            ends = np.cumsum(sizes)
+            flat = np.arange(ends[-1]) + np.repeat(self.tops_at[t] - (ends - sizes), sizes)
+            sums = np.bincount(np.repeat(w, sizes) * self.blocks + self.tops_block[flat], self.tops_most[flat])
+            for found in np.unique(np.flatnonzero(sums >= least) // self.blocks):
+                a, b = np.searchsorted(w, [found, found + 1])
+                yield int(found + first) * step, t[a:b]
+
     @staticmethod
     def _share(own: set[tuple[str, ...]], width: int, passage: list[str]) -> float:
         if not own:
