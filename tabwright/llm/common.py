@@ -35,3 +35,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows of a written table that may be broadcast; at some 100 bytes a row, about 20 MB.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A written table as the smaller side of a join: broadcast if its counted rows are few,
+    so that texts stay where they are; else the join is left to shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

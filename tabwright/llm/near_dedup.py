@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.llm.common import column, small_batches, texts, written
+from tabwright.llm.common import column, small_batches, small_side, texts, written
 from tabwright.llm.components import components
 
 WIDTH = 5  # words of a shingle
@@ -262,7 +262,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_MEMBERS))
     wanted = written(wanted.join(weights, "label").select("node", "label", "w_id", "w_key", blocks.alias("blocks")), "wanted")
     source = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    found = source.join(wanted, (source["text_key"] == wanted["w_key"]) & source["doc_id"].eqNullSafe(wanted["w_id"])).select("label", "blocks", "node", "text")
+    found = source.join(small_side(wanted), (source["text_key"] == wanted["w_key"]) & source["doc_id"].eqNullSafe(wanted["w_id"])).select("label", "blocks", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,4 +305,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sets.join(classes, "node").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dropped"
     )
     body = F.coalesce(column(text_col).cast("string"), F.lit(""))
-    return docs.join(dropped, column(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__key")), "left_anti")
+    return docs.join(small_side(dropped), column(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__key")), "left_anti")
