@@ -97,12 +97,13 @@ def judge(leaves: DataFrame, max_bad: float, weight: float) -> DataFrame:
     """``(host, shape, template, bad_share)`` of the templates to reject.
 
     The bad share of a template is smoothed towards that of its host, and the host's towards
-    that of all pages, each with the weight of ``weight`` pages.
+    that of all pages, each with the weight of ``weight`` pages; without labels of its own a
+    template is not rejected.
     """
     every = leaves.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("of_all"))
     hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     hosts = hosts.join(F.broadcast(every)).select("host", ((F.col("b") + weight * F.col("of_all")) / (F.col("l") + weight)).alias("of_host"))
-    shares = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).join(hosts, "host")
+    shares = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).filter("l > 0").join(hosts, "host")
     bad = shares.select("host", "template", ((F.col("b") + weight * F.col("of_host")) / (F.col("l") + weight)).alias("bad_share")).filter(F.col("bad_share") > max_bad)
     return leaves.select("host", "template", "shape").join(bad, ["host", "template"])
 
