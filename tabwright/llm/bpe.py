@@ -25,7 +25,7 @@ PLAIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|
 UNLIKE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if 0x1C <= c <= 0x1F or chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()) + "]")
 CONTRACTIONS = ("'re", "'ve", "'ll")
 # Words kept with their result in a worker; at this many the table starts anew.
-CACHE_WORDS, CACHED_LENGTH = 1_500_000, 48
+CACHE_WORDS, CACHED_LENGTH = 1_000_000, 48
 CACHE_PAIRS = 2_000_000
 # Pieces of more bytes are worked through from the front, without recursion.
 DEEP = 400
@@ -295,14 +295,27 @@ class TokenCounter:
         if any(s in text for s in self.v.special):
             return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
         # The counts after whole pieces grow, so only the pieces around the budget are opened.
-        pieces = split(text)
-        ends = list(accumulate(map(self.piece, pieces)))
+        reach = 4 * budget + 64
+        while True:
+            pieces = split(text[:reach])
+            if reach < len(text):  # the last pieces may be other ones in the whole text
+                del pieces[-3:]
+            ends = list(accumulate(map(self.piece, pieces)))
+            if reach >= len(text) or len(ends) > 8 and ends[-8] > budget:
+                break
+            reach *= 2
         at = max(0, bisect_right(ends, budget) - 2)
         counts, _ = self._walk(pieces[at : at + 6], ends[at - 1] if at else 0, pieces[at - 1] if at else "")
         near = np.concatenate([[ends[at - 1] if at else 0], *counts])
         return sum(map(len, pieces[:at])) + int(np.flatnonzero(near <= budget)[-1])
 
 
+@lru_cache(maxsize=2)
+def token_counter(path: str) -> TokenCounter:
+    """The counter of a worker process, whose tables last over its tasks."""
+    return TokenCounter(path)
+
+
 class IdEncoder:
     """Token ids of whole texts by a compiled encoder that runs the merges of the file."""
 
