@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -59,6 +61,10 @@ def _text_schema(schema: str | T.StructType) -> tuple[T.StructType, dict[str, st
     return T.StructType([T.StructField(f.name, T.StringType()) for f in declared]), {f.name: f.dataType.simpleString() for f in declared}
 
 
+def _raw_csv(spark: SparkSession, path: str | list[str], encoding: str, multi_line: bool = False, schema: T.StructType | None = None) -> DataFrame:
+    return null_tokens(spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", encoding=encoding, multiLine=multi_line, escape='"'))
+
+
 def read_csv(
     spark: SparkSession, path: str, encoding: str = UTF8, multi_line: bool = False, schema: str | T.StructType | None = None,
 ) -> DataFrame:
@@ -68,7 +74,7 @@ def read_csv(
     Cells with line breaks need ``multi_line``, which reads each file in one task.
     """
     texts, types = _text_schema(schema) if schema is not None else (None, None)
-    raw = null_tokens(spark.read.csv(path, schema=texts, header=True, mode="FAILFAST", encoding=encoding, multiLine=multi_line, escape='"'))
+    raw = _raw_csv(spark, path, encoding, multi_line, texts)
     return apply_types(raw, types or infer_types(raw))
 
 
@@ -84,19 +90,40 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_json(spark: SparkSession, path: str, encoding: str = UTF8) -> DataFrame:
-    """An array of objects, or one object per line; told apart by the first character.
+def _files_where(spark: SparkSession, path: str | list[str], told: Column) -> dict[str, list[str]]:
+    """The files of a path by what an aggregate says of their lines (``value`` in order ``place``).
+
+    One aggregation over all lines; the driver gets one short row per file.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"), "value"
+    )
+    found: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(told.alias("kind")).collect():
+        found.setdefault(r["kind"] or "", []).append(unquote(r["file"]))
+    return found
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_json(spark: SparkSession, path: str | list[str], encoding: str = UTF8) -> DataFrame:
+    """Files that hold an array of objects, or one object per line; each file is told apart by
+    its own first character, and a folder may mix both.
 
     An array has no line structure, so each such file is read in one task; large data
     should come as one object per line.
     """
-    first = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).filter("c <> ''").first()
-    if first is not None and first["c"] == "[":
-        return spark.read.json(path, multiLine=True, encoding=encoding, mode="FAILFAST")
-    return read_ndjson(spark, path, encoding)
+    start = F.substring(F.ltrim("value"), 1, 1)
+    files = _files_where(spark, path, F.min_by(start, F.when(start != "", F.col("place"))))
+    arrays = files.pop("[", [])
+    lines = [f for own in files.values() for f in own]
+    parts = [spark.read.json(arrays, multiLine=True, encoding=encoding, mode="FAILFAST")] if arrays else []
+    return _union(parts + ([read_ndjson(spark, lines, encoding)] if lines or not parts else []))
 
 
-def read_ndjson(spark: SparkSession, path: str, encoding: str = UTF8) -> DataFrame:
+def read_ndjson(spark: SparkSession, path: str | list[str], encoding: str = UTF8) -> DataFrame:
     return spark.read.json(path, encoding=encoding, mode="FAILFAST")
 
 
@@ -112,8 +139,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if extension not in READERS:
         raise ValueError(f"Unsupported file format: .{extension}. Supported formats are csv, txt, json, ndjson and parquet.")
     if extension in ("csv", "txt", "json"):
-        encoding = UTF8 if is_utf8(spark, path) else FALLBACK_ENCODING
-        df = read_csv(spark, path, encoding) if extension != "json" else read_json(spark, path, encoding)
+        # Each file has its own encoding; one bad line in one file does not touch the others.
+        valid = F.when(F.bool_and(F.is_valid_utf8("value")), UTF8).otherwise(FALLBACK_ENCODING)
+        parts = sorted(_files_where(spark, path, valid).items()) or [(UTF8, [path])]
+        if extension == "json":
+            df = _union([read_json(spark, files, encoding) for encoding, files in parts])
+        else:
+            raw = _union([_raw_csv(spark, files, encoding) for encoding, files in parts])
+            df = apply_types(raw, infer_types(raw))
     else:
         df = READERS[extension](spark, path)
     return assert_non_empty(df)

@@ -134,3 +134,22 @@ def test_profile_stream_restart(spark, tmp_path, check):
 def test_scratch_needs_a_shared_folder(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert run_transform(spark.range(5), "duplicate_column", {"source_column": "id", "new_column": "copy"}).columns == ["id", "copy"]
+
+
+def test_mixed_json_folder(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"n": 1}\n{"n": 2}\n')
+    (folder / "b.json").write_text('\n [\n  {"n": 3, "t": "x"},\n  {"n": 4}\n]\n')
+    assert sorted(r["n"] for r in readers.read_json(spark, str(folder)).collect()) == [1, 2, 3, 4]
+    assert readers.read_table(spark, str(folder)).filter("t = 'x'").count() == 1
+
+
+def test_encoding_of_each_file(spark, tmp_path):
+    folder = tmp_path / "texts.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("k,t\n1,caf\u00e9\n".encode())
+    (folder / "b.csv").write_bytes("k,t\n2,caf\u00e9\n".encode("latin-1"))
+    df = readers.read_table(spark, str(folder))
+    assert dict(df.dtypes)["k"] == "bigint"
+    assert sorted((r["k"], r["t"]) for r in df.collect()) == [(1, "caf\u00e9"), (2, "caf\u00e9")]
