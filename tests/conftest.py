@@ -23,10 +23,10 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def churn(spark, tmp_path_factory):
-    from sample import CHURN_CSV
+def stations(spark, tmp_path_factory):
+    from sample import STATION_CSV
     from tabwright.sources.readers import read_csv
 
-    path = tmp_path_factory.mktemp("churn") / "churn.csv"
-    path.write_text(CHURN_CSV)
+    path = tmp_path_factory.mktemp("stations") / "stations.csv"
+    path.write_text(STATION_CSV)
     return read_csv(spark, str(path))

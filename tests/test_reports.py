@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+from collections import Counter
 
+import numpy as np
 import pytest
+from sample import STATION_CSV
 
 from tabwright import run_transform
 from tabwright.operators import charts, contract as ct, profile as pf, readiness as rd, validate as vd
@@ -16,88 +21,90 @@ def by(df, key="column"):
 
 
 @pytest.fixture(scope="module")
-def churn_profile(churn):
-    return pf.profile(churn)
+def station_profile(stations):
+    return pf.profile(stations)
 
 
-def test_sample_types(churn):
-    assert dict(churn.dtypes) == {
-        "customer_id": "string", "name": "string", "age": "bigint", "gender": "string", "tenure_months": "bigint", "signup_date": "string",
-        "monthly_charges": "double", "total_charges": "string", "contract_type": "string", "payment_method": "string", "churn": "string",
+ROWS = list(csv.DictReader(io.StringIO(STATION_CSV)))
+
+
+def test_sample_types(stations):
+    assert dict(stations.dtypes) == {
+        "station_id": "string", "keeper": "string", "altitude": "bigint", "soil": "string", "days_active": "bigint", "installed": "string",
+        "moisture": "double", "yield_text": "string", "zone": "string", "power": "string", "failed": "string",
     }
 
 
-def test_sample_table(churn_profile):
-    t = churn_profile["table"].first()
-    assert (t.row_count, t.column_count, t.duplicate_row_count, round(t.duplicate_row_percentage, 2)) == (30, 11, 2, 6.67)
-    assert (t.total_missing_values, round(t.total_missing_percentage, 2)) == (3, 0.91)
+def test_sample_table(station_profile):
+    t = station_profile["table"].first()
+    assert (t.row_count, t.column_count, t.duplicate_row_count, round(t.duplicate_row_percentage, 2)) == (26, 11, 2, 7.69)
+    assert (t.total_missing_values, round(t.total_missing_percentage, 2)) == (3, 1.05)
 
 
-@pytest.mark.parametrize("name, expected, bins", [
-    ("age", (2, 41.0, 38.5, 13.29, 22, 73, 29.75, 49.25), [4, 5, 4, 4, 3, 3, 0, 3, 1, 1]),
-    ("tenure_months", (0, 51.47, 14.5, 176.63, 0, 999, 6.25, 29.5), [29, 0, 0, 0, 0, 0, 0, 0, 0, 1]),
-    ("monthly_charges", (0, 72.47, 73.75, 24.38, 25, 115, 51.25, 91.25), [2, 2, 4, 2, 2, 5, 3, 5, 3, 2]),
-])
-def test_sample_numeric(churn_profile, name, expected, bins):
-    r = by(churn_profile["numeric"])[name]
-    assert (r.missing_count, round(r["mean"], 2), r["median"], round(r["std"], 2), r["min"], r["max"], r.q25, r.q75) == expected
-    rows = sorted((b.bin, b["count"]) for b in churn_profile["histogram"].collect() if b.column == name)
-    assert [n for _, n in rows] == bins
+@pytest.mark.parametrize("name", ["altitude", "days_active", "moisture"])
+def test_sample_numeric(station_profile, name):
+    r = by(station_profile["numeric"])[name]
+    values = np.array([float(x[name]) for x in ROWS if x[name]])
+    assert r.missing_count == len(ROWS) - len(values)
+    got = (r["mean"], r["median"], r["std"], r["min"], r["max"], r.q25, r.q75)
+    assert got == pytest.approx((values.mean(), np.median(values), values.std(), values.min(), values.max(), *np.quantile(values, [0.25, 0.75])))
+    rows = sorted((b.bin, b["count"]) for b in station_profile["histogram"].collect() if b.column == name)
+    assert [n for _, n in rows] == list(np.histogram(values, 10)[0])
 
 
-def test_sample_issues(churn, churn_profile):
-    issues = sorted((r.code, r.severity, r.column, r.affected_rows) for r in churn_profile["issues"].fillna("", ["column"]).collect())
+def test_sample_issues(stations, station_profile):
+    issues = sorted((r.code, r.severity, r.column, r.affected_rows) for r in station_profile["issues"].fillna("", ["column"]).collect())
     assert issues == [
-        ("DUPLICATE_ROWS", "warning", "", 2), ("MIXED_DATA_TYPES", "critical", "total_charges", 2), ("OUTLIERS_DETECTED", "warning", "tenure_months", 1),
+        ("DUPLICATE_ROWS", "warning", "", 2), ("MIXED_DATA_TYPES", "critical", "yield_text", 2), ("OUTLIERS_DETECTED", "warning", "days_active", 1),
     ]
-    assert churn_profile["score"].first().health_score == 71.3
-    assert by(pf.iqr_outliers(churn))["tenure_months"].sample_1 == 999.0
-    assert by(pf.mixed_type_check(churn))["total_charges"].dirty_samples == "unknown"
-    assert by(churn_profile["dates"])["signup_date"].inferred_type == "string_as_date"
-
-
-def test_sample_text(churn_profile):
-    r = by(churn_profile["categorical"])
-    assert (r["customer_id"].unique_count, r["gender"].unique_count, r["contract_type"].unique_count) == (28, 2, 3)
-    top = {(t.column, t.value): t["count"] for t in churn_profile["top_values"].collect()}
-    assert (top["churn", "No"], top["churn", "Yes"], top["gender", "Female"]) == (21, 9, 16)
-
-
-def test_sample_readiness(churn):
-    r = rd.ml_readiness(churn, "classification", "churn").first()
-    assert (r.readiness_score, r.overall_status) == (51.5, "needs_attention")
-    flagged = {f.column for f in rd.ml_findings(churn, "classification", "churn", ["ID_COLUMN"]).collect()}
-    assert flagged == {"customer_id", "name", "signup_date", "total_charges"}
-    steps = rd.ml_recommendations(churn, "classification", "churn").orderBy("step").collect()
-    df = churn
+    assert station_profile["score"].first().health_score == 69.6  # 100 - 0.8 * 1.05 - 1.5 * 7.69 - 10 - 2 * 4
+    assert by(pf.iqr_outliers(stations))["days_active"].sample_1 == 4000.0
+    assert by(pf.mixed_type_check(stations))["yield_text"].dirty_samples == "unknown"
+    assert by(station_profile["dates"])["installed"].inferred_type == "string_as_date"
+
+
+def test_sample_text(station_profile):
+    r = by(station_profile["categorical"])
+    assert (r["station_id"].unique_count, r["soil"].unique_count, r["zone"].unique_count) == (24, 2, 3)
+    top = {(t.column, t.value): t["count"] for t in station_profile["top_values"].collect()}
+    for name in ("failed", "soil"):
+        assert {v: n for (c, v), n in top.items() if c == name} == Counter(x[name] for x in ROWS)
+
+
+def test_sample_readiness(stations):
+    r = rd.ml_readiness(stations, "classification", "failed").first()
+    assert (r.readiness_score, r.overall_status) == (51.3, "needs_attention")
+    flagged = {f.column for f in rd.ml_findings(stations, "classification", "failed", ["ID_COLUMN"]).collect()}
+    assert flagged == {"station_id", "keeper", "installed", "yield_text"}
+    steps = rd.ml_recommendations(stations, "classification", "failed").orderBy("step").collect()
+    df = stations
     for s in steps:
         params = json.loads(s.params_json)
         if all(c in df.columns for c in params.get("columns", [])):
             df = run_transform(df, s.operation, params)
-    assert "split_assignment" in df.columns and "gender_Male" in df.columns
+    assert "split_assignment" in df.columns and "soil_loam" in df.columns
 
 
 CONTRACT = [
-    ExpectedColumn("customer_id", nullable=False), ExpectedColumn("name", nullable=False),
-    ExpectedColumn("age", "integer", nullable=False, min_value=18, max_value=100),
-    ExpectedColumn("gender", allowed_values=("Male", "Female", "Other")),
-    ExpectedColumn("tenure_months", "integer", nullable=False, min_value=0, max_value=120),
-    ExpectedColumn("signup_date", "date", nullable=False),
-    ExpectedColumn("monthly_charges", "float", nullable=False, min_value=0, max_value=500),
-    ExpectedColumn("total_charges", "float", nullable=False, min_value=0),
-    ExpectedColumn("churn", nullable=False, allowed_values=("Yes", "No")),
+    ExpectedColumn("station_id", nullable=False), ExpectedColumn("keeper", nullable=False),
+    ExpectedColumn("altitude", "integer", nullable=False, min_value=0, max_value=900),
+    ExpectedColumn("soil", allowed_values=("clay", "loam", "sand")),
+    ExpectedColumn("days_active", "integer", nullable=False, min_value=0, max_value=365),
+    ExpectedColumn("installed", "date", nullable=False),
+    ExpectedColumn("moisture", "float", nullable=False, min_value=0, max_value=100),
+    ExpectedColumn("yield_text", "float", nullable=False, min_value=0),
+    ExpectedColumn("failed", nullable=False, allowed_values=("yes", "no")),
 ]
 
 
-def test_sample_contract(churn):
-    result = ct.check_contract(churn, ct.contract_from_json(ct.contract_to_json(CONTRACT)))
+def test_sample_contract(stations):
+    result = ct.check_contract(stations, ct.contract_from_json(ct.contract_to_json(CONTRACT)))
     found = sorted((i[0], i[1], i[2], i[5]) for i in result.issues)
     assert found == [
-        ("age", "critical", "nullability_violation", 2), ("signup_date", "warning", "type_mismatch", 30),
-        ("tenure_months", "warning", "constraint_violation", 1), ("total_charges", "critical", "nullability_violation", 1),
-        ("total_charges", "critical", "type_mismatch", 1),
+        ("altitude", "critical", "nullability_violation", 2), ("days_active", "warning", "constraint_violation", 1), ("installed", "warning", "type_mismatch", 26),
+        ("yield_text", "critical", "nullability_violation", 1), ("yield_text", "critical", "type_mismatch", 1),
     ]
-    assert result.unexpected == ["contract_type", "payment_method"] and result.compatibility == "incompatible"
+    assert result.unexpected == ["zone", "power"] and result.compatibility == "incompatible"
 
 
 def test_contract_rules(spark, monkeypatch):
