@@ -215,9 +215,9 @@ def chart_scatter(df: DataFrame, x: str, y: str, sample_size: int = SAMPLE_DEFAU
 
 
 def chart_pair_plot(df: DataFrame, columns: list[str], sample_size: int = SAMPLE_DEFAULT, key=None) -> DataFrame:
-    """Sampled complete rows of two to four numeric columns."""
+    """Sampled complete rows of all given numeric columns, at least two."""
     require_columns(df, columns)
-    chosen = [c for c in columns if is_numeric(dtype(df, c))][:4]
+    chosen = [c for c in columns if is_numeric(dtype(df, c))]
     if len(chosen) < 2:
         raise ValueError("Pair plot requires at least two numerical columns")
     _in_range(sample_size, SAMPLE_MIN, SAMPLE_MAX, "sample_size")
@@ -226,7 +226,7 @@ def chart_pair_plot(df: DataFrame, columns: list[str], sample_size: int = SAMPLE
 
 def _pairs(df: DataFrame, columns: list[str]) -> list[str]:
     require_columns(df, columns)
-    chosen = [c for c in columns if is_numeric(dtype(df, c))][:HEATMAP_COLUMNS]
+    chosen = [c for c in columns if is_numeric(dtype(df, c))]
     if len(chosen) < 2:
         raise ValueError("Correlation heatmap requires at least two numerical columns")
     return chosen
@@ -366,13 +366,14 @@ def chart_missing_bar(df: DataFrame) -> DataFrame:
 
 
 def chart_missing_heatmap(df: DataFrame, n: int = HEATMAP_ROWS, key=None) -> DataFrame:
-    """``(row, column, missing)`` of up to 200 sampled rows."""
+    """``(row, column, missing)`` of up to ``n`` sampled rows."""
+    _in_range(n, 1, SAMPLE_MAX, "n")
     df = normalize_non_finite(df)
     names = df.columns
     flags = [F.struct(F.lit(c).alias("column"), col(c).isNull().alias("missing")) for c in names]
-    sampled = sample_rows(df, min(n, HEATMAP_ROWS), key)
+    sampled = sample_rows(df, n, key)
     digest = F.md5(F.concat_ws("|", F.lit(str(SEED)), *[as_text(c, dtype(df, c)) for c in as_list(key) or names]))
-    # At most 200 rows are numbered here.
+    # At most SAMPLE_MAX rows are numbered here.
     order = Window.orderBy(digest, *[col(c) for c in order_keys(df, key)])
     numbered = sampled.withColumn("__row", F.row_number().over(order) - F.lit(1))
     return numbered.select(F.col("__row").cast("bigint").alias("row"), F.inline(F.array(*flags)))

@@ -24,16 +24,17 @@ def indicator_name(column: str, value: str, taken: set[str]) -> str:
 class OneHotEncode(Transform):
     columns: list[str] | str = field(default_factory=list)
     drop_first: bool = False
-    max_categories: int = 20
+    max_categories: int | None = None
     order_by: list[str] | str | None = None
 
     def categories(self, df: DataFrame, column: str) -> list[str]:
-        """The first categories in row order."""
+        """All categories in row order, or the first ``max_categories``."""
         text = as_text(column, dtype(df, column))
         keys = [c for c in order_keys(df, self.order_by) if c != column] if self.order_by is None else as_list(self.order_by)
         first = F.min(F.struct(*[col(c) for c in keys])) if keys else F.min(text)
         rows = df.filter(col(column).isNotNull()).groupBy(text.alias("value")).agg(first.alias("first_seen"))
-        return [r["value"] for r in rows.orderBy("first_seen", "value").limit(int(self.max_categories)).collect()]
+        ordered = rows.orderBy("first_seen", "value")
+        return [r["value"] for r in (ordered if self.max_categories is None else ordered.limit(int(self.max_categories))).collect()]
 
     def fit(self, df: DataFrame) -> Fitted:
         names = as_list(self.columns)

@@ -46,6 +46,7 @@ class TrainTestSplit(Transform):
         return names
 
     def fit(self, df: DataFrame) -> Fitted:
+        df = df.drop(SPLIT_COLUMN)  # an earlier label is replaced
         test, val = float(self.test_size), float(self.validation_size)
         if not 0 <= test <= 1 or not 0 <= val <= 1:
             raise ValueError("test_size and validation_size must be between 0 and 1.")
@@ -89,6 +90,7 @@ class TrainTestSplit(Transform):
         return [value, second, before - below, equal]
 
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
+        df = df.drop(SPLIT_COLUMN)
         h1, h2 = shuffle_key(df, self.key(df), int(self.random_state)), tie_key(df)
         train_cut, val_cut = fitted["cuts"]
 

@@ -51,6 +51,8 @@ def _matrix(columns: list[str], template: str) -> str:
 
 
 add("chart_corr_pearson", report("lineitem", ch.chart_corr_pearson, PRICES), _matrix(PRICES, "(SELECT corr({x}, {y}) FROM lineitem) AS value"))
+WIDE = [*PRICES, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+add("chart_corr_wide", report("lineitem", ch.chart_corr_pearson, WIDE), _matrix(WIDE, "(SELECT corr({x}, {y}) FROM lineitem) AS value"))
 MIXED_COLUMNS = ["user_id", "value", "event_id"]
 _rank = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 add("chart_corr_spearman", report("dirty_events", ch.chart_corr_spearman, MIXED_COLUMNS), _matrix(

@@ -82,7 +82,7 @@ def test_sample_readiness(stations):
         params = json.loads(s.params_json)
         if all(c in df.columns for c in params.get("columns", [])):
             df = run_transform(df, s.operation, params)
-    assert "split_assignment" in df.columns and "soil_loam" in df.columns
+    assert "split_assignment" in df.columns and "soil_clay" in df.columns  # loam comes first and is dropped
 
 
 CONTRACT = [
