@@ -17,6 +17,8 @@ ORDERS, BUCKET_BITS, SMOOTHING = (1, 2, 3), 16, 0.5
 # Labelled documents that the model is fitted on, shared evenly among the languages. A bound on
 # the sample; predictions and the counts of labels cover all rows.
 TRAINING_DOCS = 20_000
+# Steps of the share that is drawn: fine enough for 20,000 documents out of 10**15.
+CHANCE_BITS = 56
 # Characters worked on at a time; n-grams do not reach over the end of such a stretch.
 STRETCH = 1 << 20
 # Odd multipliers of the hash.
@@ -80,8 +82,8 @@ def training_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     if not langs:
         return langs, np.zeros(0), counts
     share = training_docs / len(langs)
-    chance = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, share / sizes[lang]) * (1 << 20))))])
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("training"), "id"), F.lit(1 << 20)) < chance[F.col("lang")])
+    chance = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, share / sizes[lang]) * (1 << CHANCE_BITS))).cast("bigint"))])
+    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("training"), "id"), F.lit(1 << CHANCE_BITS)) < chance[F.col("lang")])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[str, np.ndarray] = {}
