@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabwright.llm.common import texts, written
 
@@ -23,8 +23,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sketch of the Misra-Gries kind, merged from all tasks, names candidates. Their exact counts,
     largest ids and lengths are then aggregated (verified: one length and one second hash per
     digest), and the winners are broadcast, so rows of frequent texts are decided where they lie.
-    The other digests are shuffled; each of those groups is small, because a large one would
-    have been found by the sketch.
+    The other digests are shuffled: their groups are summed before the shuffle and joined back,
+    so no group is gathered in one task, however many copies the sketch left out.
     """
     digests = written(
         texts(docs, id_col, text_col).select(
@@ -45,12 +45,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     winners = written(found, "winners")
     frequent = digests.join(F.broadcast(winners), "digest")
-    alike = Window.partitionBy("digest")
-    others = (
-        digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-        .withColumn("best", best.over(alike))
-        .withColumn("group_size", F.count(F.lit(1)).over(alike))
-    )
+    rare = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    others = rare.join(rare.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "digest")
     return frequent.select(others.columns).unionByName(others).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
