@@ -43,20 +43,24 @@ def null_tokens_to_null(c: Column) -> Column:
     return F.when(~c.isin(NULL_TOKENS), c)
 
 
+def _bare_number(c: Column, pattern: str) -> Column:
+    """The text without signs and unit words if it is a number, else empty. Words that stand for
+    "missing" are no numbers. Each step is evaluated once per cell."""
+    bare = trim_all(F.regexp_replace(F.translate(trim_all(c), NUMERIC_SIGNS, ""), UNIT_WORDS, ""))
+    return F.regexp_extract(bare, pattern, 0)
+
+
 def clean_numeric_text(c: Column) -> Column:
     """Numeric text without signs and unit words, or null when no number remains."""
-    text = trim_all(c)
-    bare = trim_all(F.regexp_replace(F.translate(text, NUMERIC_SIGNS, ""), UNIT_WORDS, ""))
-    return F.when(~F.lower(text).isin(MISSING_WORDS) & bare.rlike(NUMBER), bare)
+    return F.nullif(_bare_number(c, NUMBER), F.lit(""))
 
 
 def text_to_long(c: Column) -> Column:
-    clean = clean_numeric_text(c)
-    return F.when(clean.rlike(WHOLE_NUMBER), clean.try_cast("bigint"))
+    return _bare_number(c, WHOLE_NUMBER).try_cast("bigint")
 
 
 def text_to_double(c: Column) -> Column:
-    return clean_numeric_text(c).try_cast("double")
+    return _bare_number(c, NUMBER).try_cast("double")
 
 
 def text_to_boolean(c: Column) -> Column:

@@ -123,21 +123,13 @@ chart_violin = chart_kde
 def chart_bar(df: DataFrame, column: str, k: int = BAR_VALUES) -> DataFrame:
     """The most frequent values with their share of all rows; missing ones count as "None"."""
     _categorical(df, column)
-    text = F.coalesce(as_text(column, dtype(df, column)), F.lit("None"))
-    counts = df.groupBy(col(column).alias("key")).agg(F.count(F.lit(1)).alias("count")) if not _nested(df, column) else None
     rows = df.count()
-    if counts is None:
-        counts = df.groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    else:
-        counts = counts.select(F.coalesce(F.col("key").cast("string"), F.lit("None")).alias("value"), "count")
+    counts = df.groupBy(as_text(column, dtype(df, column)).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    counts = counts.select(F.coalesce("key", F.lit("None")).alias("value"), "count")
     share = F.col("count") / F.lit(float(rows or 1)) * F.lit(100.0)
     return counts.select("value", "count", share.alias("percentage")).orderBy(F.desc("count"), "value").limit(k)
 
 
-def _nested(df: DataFrame, column: str) -> bool:
-    return not dtype(df, column).typeName() in ("string", "boolean")
-
-
 chart_class_distribution = chart_bar
 
 

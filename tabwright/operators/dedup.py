@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabwright.functions.columns import as_list, as_text, col, normalize_non_finite, order_keys, require_columns, row_hash
 from tabwright.operators.base import Fitted, Transform
@@ -22,9 +22,12 @@ class RemoveDuplicates(Transform):
         if self.keep not in ("first", "last"):
             raise ValueError("keep must be one of: first, last.")
         names = as_list(self.subset)
+        require_columns(df, names)
+        loose = {f.name: comparable(f.name, f.dataType) for f in df.schema if isinstance(f.dataType, (T.MapType, T.VariantType))}
+        if loose:
+            return self._with_maps(df, names or df.columns, loose)
         if not names:
             return df.distinct()
-        require_columns(df, names)
         # The least (or greatest) whole row of each group, sort keys first. This combines
         # before the shuffle, so a key held by a third of all rows sends one row per task,
         # where a window over the key would sort the whole group in one task.
@@ -38,15 +41,41 @@ class RemoveDuplicates(Transform):
         return rows.select(*[source.get(c, col(c)).alias(c) for c in df.columns])
 
 
+    def _with_maps(self, df: DataFrame, names: list[str], loose: dict[str, Column]) -> DataFrame:
+        """Maps and variants have no order of their own: rows are compared by a form that has."""
+        shown = {c: loose.get(c, col(c)) for c in df.columns}
+        order = F.struct(*[shown[c] for c in as_list(self.order_by) + [c for c in df.columns if c not in as_list(self.order_by)]])
+        pick = (F.min_by if self.keep == "first" else F.max_by)(F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(df.columns)]), order)
+        rows = df.groupBy(*[shown[c].alias(f"g{i}") for i, c in enumerate(names)]).agg(pick.alias("__row"))
+        return rows.select(*[F.col(f"__row.k{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def comparable(name: str, t: T.DataType) -> Column:
+    """The column in a form that can be grouped: map entries in the order of their keys, variants as JSON."""
+    if isinstance(t, T.MapType):
+        return F.array_sort(F.map_entries(col(name)))
+    return as_text(name, t) if isinstance(t, T.VariantType) else col(name)
+
+
 def duplicate_groups(df: DataFrame) -> DataFrame:
-    """One row ``n`` per distinct row: how often it occurs."""
+    """``n`` for every distinct row: how often it occurs.
+
+    Two 64-bit hashes of each row are counted first, so 16 bytes a row are shuffled; only rows
+    whose hashes repeat are then compared whole.
+    """
     df = normalize_non_finite(df)
-    whole = [as_text(f.name, f.dataType) if f.dataType.typeName() in ("map", "variant") else col(f.name) for f in df.schema]
-    return df.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(whole)]).agg(F.count(F.lit(1)).alias("n"))
+    whole = [comparable(f.name, f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)]
+    if not whole:
+        return df.groupBy().agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    rows = df.select(*whole)
+    hashed = rows.withColumns({"h1": F.xxhash64(*rows.columns), "h2": F.xxhash64(F.lit(1), *rows.columns)})
+    counted = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    again = hashed.join(counted.filter("n > 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
+    return counted.filter("n = 1").select("n").unionByName(again.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")).select("n"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Row count and surplus copies, one shuffle with map-side combine."""
+    """Row count and surplus copies."""
     return duplicate_groups(df).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("n") - F.lit(1)), F.lit(0)).alias("duplicate_count"),

@@ -20,6 +20,7 @@ from tabwright.operators.scale import iqr_fences
 
 # Columns measured in one aggregation. The scan of a batch reads only its columns.
 BATCH = 24
+DIGEST = 64  # characters of a SHA-256 in hexadecimal
 
 
 @dataclass
@@ -141,11 +142,14 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Exact number of distinct non-null values per column."""
+    """Number of distinct non-null values per column. Texts longer than a digest are told apart
+    by their SHA-256, so no long text is shuffled."""
     if not columns:
         return {}
     df = normalize_non_finite(df)
-    rows = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+    values = tall(df, columns, lambda c: as_text(c, dtype(df, c))).filter(F.col("value").isNotNull())
+    key = F.when(F.octet_length("value") <= DIGEST, F.concat(F.lit("="), F.col("value"))).otherwise(F.concat(F.lit("#"), F.sha2("value", 256)))
+    rows = values.select("column", key.alias("key")).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
     found = {r["column"]: r["n"] for r in rows}
     return {c: found.get(c, 0) for c in columns}
 

@@ -48,14 +48,19 @@ class FillConstant(Transform):
 def column_modes(df: DataFrame, columns: list[str]) -> dict[str, Any]:
     """The most frequent value of each column, the smallest one on a tie.
 
-    Counting by value shuffles one row per task and value; keeping the values of a column
-    in one aggregation buffer, as ``mode`` does, would not hold for identifier columns.
+    All columns of one type are counted in one job. Counting by value shuffles one row per task
+    and value; keeping the values of a column in one aggregation buffer, as ``mode`` does, would
+    not hold for identifier columns.
     """
-    found = {}
-    for c in columns:
-        counts = df.filter(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        top = counts.orderBy(F.desc("n"), F.asc("value")).limit(1).first()
-        found[c] = top["value"] if top else None
+    kinds: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        kinds.setdefault(dtype(df, c).simpleString(), []).append(i)
+    found = dict.fromkeys(columns)
+    for own in kinds.values():
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), col(columns[i]).alias("value")) for i in own])
+        counts = df.select(F.inline(cells)).filter("value IS NOT NULL").groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+        for r in counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("top")).collect():
+            found[columns[r["i"]]] = r["top"]["value"]
     return found
 
 

@@ -2,69 +2,117 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabwright.functions.columns import col, dtype, is_date, is_float, is_integer, is_string
 from tabwright.operators.quantiles import values_at_ranks
 
-# A sorted prefix up to this many rows may be merged in one task.
-SHALLOW = 20_000
-# Leading bytes of a text that fit a number a sketch can hold exactly.
+# Rows with equal leading keys that are sorted together instead of being told apart further.
+# A bound on all tasks together, as the rows on both sides are cut off.
+TIES = 10_000
+# Leading bytes of a text that fit, with their number, a double that a sketch holds exactly.
 TEXT_DIGIT_BYTES = 6
 
 
-def _digits(df: DataFrame, name: str) -> Iterator[Column]:
-    """Numbers that order the rows as the column does, compared one after the other.
+def _digits(c: Column, t: T.DataType, clean: bool = False) -> Generator[Column, object, None]:
+    """Numbers that order rows as the value does, compared one after the other.
 
-    Missing values come first, so the leading digit tells them apart. A text yields its
-    bytes in groups of six; the caller stops asking as soon as the ties are few.
+    Each is asked for only among rows that agree on those before, and the value found is sent
+    back; None says that the rows hold no value, which ends the digits. ``clean`` floats hold
+    no NaN.
     """
-    t, c = dtype(df, name), col(name)
-    yield F.when(c.isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    if is_integer(t) or t.typeName() == "boolean":
-        yield F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
+    if is_integer(t) or isinstance(t, T.BooleanType):
+        yield c.cast("bigint")
     elif is_float(t):
-        yield F.coalesce(c.cast("double"), F.lit(0.0))
+        if clean or (yield F.when(c.isNotNull(), F.isnan(c).cast("bigint"))) == 0:
+            yield c.cast("double")
     elif t.typeName() == "date":
-        yield F.coalesce(F.unix_date(c).cast("bigint"), F.lit(0).cast("bigint"))
+        yield F.unix_date(c).cast("bigint")
     elif is_date(t):
-        yield F.coalesce(F.unix_micros(c.cast("timestamp")), F.lit(0).cast("bigint"))
-    elif t.typeName().startswith("decimal"):
-        yield F.coalesce(c, F.lit(0).cast(t))
-    elif is_string(t):
-        width = df.agg(F.max(F.octet_length(c))).first()[0] or 0
-        blob = F.coalesce(F.encode(c, "UTF-8"), F.encode(F.lit(""), "UTF-8"))
-        for start in range(0, width, TEXT_DIGIT_BYTES):
-            piece = F.rpad(F.hex(F.substring(blob, start + 1, TEXT_DIGIT_BYTES)), 2 * TEXT_DIGIT_BYTES, "0")
-            yield F.conv(piece, 16, 10).cast("bigint")
+        yield F.unix_micros(c.cast("timestamp"))
+    elif isinstance(t, T.DecimalType):
+        yield c
+    elif is_string(t) or isinstance(t, T.BinaryType):
+        # Six bytes at a time and how many there were: a text sorts before its continuations.
+        raw, full = F.encode(c, "UTF-8") if is_string(t) else c, TEXT_DIGIT_BYTES
+        start = 0
+        while full == TEXT_DIGIT_BYTES:
+            piece = F.substring(raw, start + 1, TEXT_DIGIT_BYTES)
+            number = F.conv(F.rpad(F.hex(piece), 2 * TEXT_DIGIT_BYTES, "0"), 16, 10).cast("bigint")
+            found = yield number * F.lit(8) + F.octet_length(piece)
+            full = None if found is None else found % 8
+            start += TEXT_DIGIT_BYTES
+    elif isinstance(t, T.ArrayType):
+        at = 0
+        while (yield F.when(F.size(c) > F.lit(at), F.lit(1)).when(c.isNotNull(), F.lit(0)).cast("bigint")):
+            yield from _digits(F.get(c, F.lit(at)), t.elementType)
+            at += 1
+    elif isinstance(t, T.StructType):
+        if (yield F.when(c.isNotNull(), F.lit(1)).cast("bigint")):
+            for f in t:
+                yield from _digits(c.getField(f.name), f.dataType)
+    else:
+        raise ValueError(f"rows cannot be ranked by a column of type {t.simpleString()}")
+
+
+@dataclass
+class _Boundary:
+    """The rows that share the keys found at a rank, and those on both sides of them."""
+
+    before: Column
+    equal: Column
+    after: Column
+    rest: int  # the rank among the equal rows
+    crowd: int  # how many these are
+
+
+def _locate(df: DataFrame, keys: list[str], rank: int, size: int) -> _Boundary:
+    """Exact selection of a rank, key by key and digit by digit, until few rows are tied."""
+    at = _Boundary(F.lit(False), F.lit(True), F.lit(False), rank, size)
+    for name in keys:
+        if at.crowd <= TIES:
+            break
+        digits, value = _digits(col(name), dtype(df, name), clean=True), None
+        digit = next(digits)
+        while digit is not None and at.crowd > TIES:
+            crowd, rest = at.crowd, at.rest
+            ranks = lambda present: [rest - (crowd - present)] if rest >= crowd - present else []
+            present, found = values_at_ranks(df.filter(at.equal), {"d": digit}, ranks)["d"]
+            nulls = crowd - present  # missing values come first
+            if rest < nulls:
+                value, after = None, at.after | (at.equal & digit.isNotNull())
+                at = _Boundary(at.before, at.equal & digit.isNull(), after, rest, nulls)
+            else:
+                value, below, alike = found[rest - nulls]
+                v = F.lit(value)
+                before, after = at.before | (at.equal & (digit.isNull() | (digit < v))), at.after | (at.equal & (digit > v))
+                at = _Boundary(before, at.equal & (digit == v), after, rest - nulls - below, alike)
+            try:
+                digit = digits.send(value)
+            except StopIteration:
+                digit = None
+    return at
 
 
 def rows_from_rank(df: DataFrame, keys: list[str], offset: int, n: int) -> DataFrame:
     """``n`` rows from 0-based rank ``offset`` in the order of ``keys``, missing values first.
 
-    Near the start a top-k is enough. Further on the sort key at the rank is found by exact
-    selection, digit by digit, and only the rows from there on are sorted.
+    The keys at the first and at the last rank are found by exact selection, and only the rows
+    between them, at most ``n`` and two times ``TIES``, are sorted. Rows that are alike in all
+    keys may be a crowd: the page takes as many of them as it holds.
     """
+    size = df.count()
+    n = min(n, size - offset)
+    if n <= 0:
+        return df.limit(0)
     order = [col(c).asc_nulls_first() for c in keys]
-    if offset + n <= SHALLOW:
-        return df.orderBy(*order).offset(offset).limit(n)
-    tied, after = df, None  # rows equal to the boundary so far; rows behind the boundary
-    equal = F.lit(True)
-    rest = offset
-    for name in keys:
-        for digit in _digits(df, name):
-            size, found = values_at_ranks(tied, {"d": digit}, lambda k: [min(rest, k - 1)] if k else [])["d"]
-            if rest >= size:
-                return df.orderBy(*order).limit(0)
-            value, below, crowd = found[rest]
-            behind = equal & (digit > F.lit(value))
-            after = behind if after is None else after | behind
-            equal = equal & (digit == F.lit(value))
-            tied, rest = df.filter(equal), rest - below
-            if crowd <= SHALLOW:
-                return df.filter(equal | after).orderBy(*order).offset(rest).limit(n)
-    # The boundary is a crowd of identical rows: take as many as the page still holds.
-    first = tied.limit(min(n, crowd - rest))
-    return first.unionByName(df.filter(after).orderBy(*order).limit(n - (crowd - rest))) if crowd - rest < n else first
+    low, high = _locate(df, keys, offset, size), _locate(df, keys, offset + n - 1, size)
+    until = high.before | high.equal
+    if low.crowd <= TIES:
+        return df.filter((low.equal | low.after) & until).orderBy(*order).offset(low.rest).limit(n)
+    alike = min(n, low.crowd - low.rest)
+    first = df.filter(low.equal).limit(alike)
+    return first if alike == n else first.unionByName(df.filter(low.after & until).orderBy(*order).limit(n - alike))

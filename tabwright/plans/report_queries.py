@@ -245,4 +245,17 @@ add("ml_readiness", report("worn_orders", rd.ml_readiness, "classification", "pr
     f"open AS (SELECT count(*) AS u FROM ({_target_nulls})), total AS (SELECT greatest(0.0, least(100.0, round(100.0 - sum(points), 1))) AS s, CAST(sum(finding) AS BIGINT) AS f, CAST(sum(step) AS BIGINT) AS r FROM found) "
     "SELECT 'classification' AS task_type, 'priority' AS target_column, CAST(s AS DOUBLE) AS readiness_score, "
     "CASE WHEN s >= 80 AND u = 0 THEN 'ready' WHEN s >= 50 THEN 'needs_attention' ELSE 'not_ready' END AS overall_status, f AS findings, r AS recommendations, u AS unresolved FROM total, open")
-add("ml_recommendations", report("worn_orders", rd.ml_recommendations, "classification", "priority"))
+_step = "SELECT {at} AS place, '{operation}' AS operation, '{params}' AS params_json FROM (SELECT count(*) AS n, count({c}) AS k, count(DISTINCT {c}) AS d FROM worn_orders) WHERE {test}"
+_is_id = "(n > 10 AND CAST(d AS DOUBLE) / n > 0.85)"
+_steps = [_step.format(at=0, operation="drop_missing", params='{"columns": ["priority"], "how": "any"}', c="priority", test="k < n")]
+for _at, _c in enumerate(("o_custkey", "o_orderstatus", "price", "customer_text", "day_text", "constant_text", "constant_number")):
+    _fill = WORN_FEATURES[_c]
+    _value = "" if _c in WORN_NUMBERS else ', "value": "Unknown"'
+    _steps.append(_step.format(at=4 * _at + 1, operation=_fill, params=f'{{"columns": ["{_c}"]{_value}}}', c=_c, test="k < n"))
+    _steps.append(_step.format(at=4 * _at + 2, operation="drop_column", params=f'{{"columns": ["{_c}"]}}', c=_c, test="d <= 1"))
+    if _c in _worn_texts:
+        _steps.append(_step.format(at=4 * _at + 3, operation="drop_column", params=f'{{"columns": ["{_c}"]}}', c=_c, test=_is_id))
+        _steps.append(_step.format(at=4 * _at + 4, operation="one_hot_encode", params=f'{{"columns": ["{_c}"], "drop_first": true}}', c=_c, test=f"NOT {_is_id} AND d <= 20"))
+_steps.append("SELECT 1000, 'train_test_split', '{\"test_size\": 0.2, \"random_state\": 42}'")
+add("ml_recommendations", report("worn_orders", rd.ml_recommendations, "classification", "priority"),
+    f"SELECT row_number() OVER (ORDER BY place) AS step, operation, params_json FROM ({' UNION ALL '.join(_steps)})")

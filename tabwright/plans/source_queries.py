@@ -48,6 +48,37 @@ def _null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.null_tokens(shipped(spark, sf_dir))
 
 
+_NULL_WORDS = "('', 'NA', 'N/A', 'null', 'NULL', 'None', 'nan', 'NaN')"
+
+
+def _read_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with line breaks, quotes and commas, through a delimited file and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return readers.read_table(spark, written("csv", lambda *_: docs)(spark, sf_dir))
+
+
+add("read_csv_multiline", _read_csv_multiline,
+    f"SELECT doc_id, CASE WHEN text NOT IN {_NULL_WORDS} THEN text END AS text, CASE WHEN lang NOT IN {_NULL_WORDS} THEN lang END AS lang FROM documents")
+
+
+def _read_csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with too few and too many cells below a header of three."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"))
+    kind, key = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    line = F.when(kind == 0, F.concat_ws(",", key, "p")).when(kind == 1, F.concat_ws(",", key, "p", F.lit("7"), F.lit("beyond"))).otherwise(F.concat_ws(",", key, "p", F.lit("8")))
+    path = f"{scratch_dir(spark, 'ragged')}/table.csv"
+    # Each part file starts with the header, as Spark's own files do.
+    parts = keys.select(F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).alias("part"), line.alias("value"))
+    headers = spark.range(8).select(F.col("id").alias("part"), F.lit("key,priority,extra").alias("value"))
+    rows = headers.withColumn("at", F.lit(0)).unionByName(parts.withColumn("at", F.lit(1))).repartition(8, "part").sortWithinPartitions("part", "at")
+    rows.select("part", "value").write.partitionBy("part").text(path)
+    return readers.read_table(spark, path).select("key", "priority", "extra")
+
+
+add("read_csv_ragged", _read_csv_ragged,
+    "SELECT o_orderkey AS key, o_orderpriority AS priority, CAST(CASE o_orderkey % 3 WHEN 1 THEN 7 WHEN 2 THEN 8 END AS BIGINT) AS extra FROM orders")
+
+
 add("null_tokens", _null_tokens, f"SELECT {COLUMNS}, {AMOUNT} AS amount_text FROM dirty_events")
 
 
@@ -183,7 +214,11 @@ def _version_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("version_runs", _version_runs,
     "SELECT CAST(1 AS BIGINT) AS source_version, CAST(2 AS BIGINT) AS target_version, 'drop_missing' AS operation, 'completed' AS status, count(value) AS rows_after FROM dirty_events "
     "UNION ALL SELECT 2, 3, 'cast_type', 'completed', count(value) FROM dirty_events UNION ALL SELECT 1, NULL, 'drop_column', 'failed', NULL")
-add("version_fingerprint", lambda spark, sf_dir: fingerprint(table(spark, sf_dir, "lineitem")))
+_ITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+_cells = " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in _ITEM)
+add("version_fingerprint", lambda spark, sf_dir: fingerprint(table(spark, sf_dir, "lineitem")),
+    f"SELECT count(*) AS row_count, bit_xor(CAST('0x' || substring(d, 1, 15) AS BIGINT)) AS hash_xor, CAST(sum(CAST('0x' || substring(d, 17, 15) AS BIGINT)) AS VARCHAR) AS hash_sum "
+    f"FROM (SELECT md5({_cells}) AS d FROM lineitem)")
 
 
 def _version_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,18 @@ add("sort_rows", transform("dirty_events", "sort_rows", columns=["event_type", "
     "SELECT * FROM dirty_events ORDER BY event_type DESC NULLS FIRST, value DESC NULLS FIRST")
 add("page_rows", report("orders", page_rows, 7, 50, ["o_orderpriority", "o_orderkey"]),
     "SELECT * FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 50 OFFSET 300")
+add("page_rows_deep", report("lineitem", page_rows, 701, 50, ["l_shipdate", "l_orderkey", "l_linenumber"]),
+    "SELECT * FROM lineitem ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax LIMIT 50 OFFSET 35000")
+
+
+def _page_by_array(spark, sf_dir):
+    """A page in the order of whole vectors."""
+    return page_rows(view(spark, sf_dir, "embeddings"), 3, 40, ["embedding"]).select("vec_id", "label")
+
+
+add("page_rows_nested", _page_by_array, "SELECT vec_id, label FROM embeddings ORDER BY embedding, vec_id LIMIT 40 OFFSET 80")
+add("duplicate_count_texts", report("documents", lambda df: duplicate_count(df.select("text", "lang", "source"))),
+    "SELECT (SELECT count(*) FROM documents) AS row_count, (SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS duplicate_count")
 add("head_sample", report("dirty_events", head_sample, ["event_type", "event_id"]),
     "SELECT * FROM dirty_events ORDER BY event_type NULLS FIRST, event_id LIMIT 5")
 

@@ -14,6 +14,9 @@ from tabwright.functions.text import NUMBER, WHOLE_NUMBER, null_tokens_to_null
 CORRUPT = "_corrupt_record"
 BOOLEAN_TEXT = "(?i)^(?:true|false)$"
 UTF8, FALLBACK_ENCODING = "UTF-8", "ISO-8859-1"
+# Bytes 80 to 9f are control characters in ISO-8859-1, but signs and letters in windows-1252.
+_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+CONTROLS, SIGNS = "".join(map(chr, _BYTES)), bytes(_BYTES).decode("cp1252")
 
 
 def null_tokens(df: DataFrame) -> DataFrame:
@@ -61,8 +64,11 @@ def _text_schema(schema: str | T.StructType) -> tuple[T.StructType, dict[str, st
     return T.StructType([T.StructField(f.name, T.StringType()) for f in declared]), {f.name: f.dataType.simpleString() for f in declared}
 
 
-def _raw_csv(spark: SparkSession, path: str | list[str], encoding: str, multi_line: bool = False, schema: T.StructType | None = None) -> DataFrame:
-    return null_tokens(spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", encoding=encoding, multiLine=multi_line, escape='"'))
+def _raw_csv(spark: SparkSession, path: str | list[str], encoding: str, multi_line: bool = False, schema: T.StructType | None = None, mode: str = "FAILFAST") -> DataFrame:
+    raw = spark.read.csv(path, schema=schema, header=True, mode=mode, encoding=encoding, multiLine=multi_line, escape='"')
+    if encoding == FALLBACK_ENCODING:
+        raw = raw.select(*[F.translate(col(c), CONTROLS, SIGNS).alias(c) for c in raw.columns])
+    return null_tokens(raw)
 
 
 def read_csv(
@@ -132,21 +138,40 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read by file extension; an empty table is an error."""
+def _csv_table(spark: SparkSession, path: str, strict: bool) -> DataFrame:
+    """Delimited text whose files may differ in encoding and in having line breaks within quotes.
+
+    A line with an odd number of quotes opens or closes a cell that goes over lines; only files
+    with such lines are read whole by one task each.
+    """
+    odd = F.pmod(F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit(""))), F.lit(2)) == 1
+    broken = F.when(F.bool_or(odd), F.lit(" broken")).otherwise(F.lit(""))
+    kinds = sorted(_files_where(spark, path, F.concat(_encoding(), broken)).items()) or [(UTF8, [path])]
+    mode = "FAILFAST" if strict else "PERMISSIVE"
+    raw = _union([_raw_csv(spark, files, kind.removesuffix(" broken"), kind.endswith(" broken"), mode=mode) for kind, files in kinds])
+    return apply_types(raw, infer_types(raw))
+
+
+def _encoding() -> Column:
+    return F.when(F.bool_and(F.is_valid_utf8("value")), UTF8).otherwise(FALLBACK_ENCODING)
+
+
+def read_table(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Read by file extension; an empty table is an error.
+
+    Each file is read in its own encoding. A row of delimited text with too few cells is filled
+    with nulls and one with too many loses those beyond the header, unless ``strict`` makes
+    either an error.
+    """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if extension not in READERS:
-        raise ValueError(f"Unsupported file format: .{extension}. Supported formats are csv, txt, json, ndjson and parquet.")
-    if extension in ("csv", "txt", "json"):
-        # Each file has its own encoding; one bad line in one file does not touch the others.
-        valid = F.when(F.bool_and(F.is_valid_utf8("value")), UTF8).otherwise(FALLBACK_ENCODING)
-        parts = sorted(_files_where(spark, path, valid).items()) or [(UTF8, [path])]
-        if extension == "json":
-            df = _union([read_json(spark, files, encoding) for encoding, files in parts])
-        else:
-            raw = _union([_raw_csv(spark, files, encoding) for encoding, files in parts])
-            df = apply_types(raw, infer_types(raw))
+        raise ValueError(f"Unsupported file type '.{extension}': give one of {', '.join(READERS)}.")
+    if extension in ("csv", "txt"):
+        df = _csv_table(spark, path, strict)
+    elif extension == "json":
+        parts = sorted(_files_where(spark, path, _encoding()).items()) or [(UTF8, [path])]
+        df = _union([read_json(spark, files, encoding) for encoding, files in parts])
     else:
         df = READERS[extension](spark, path)
     return assert_non_empty(df)

@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tabwright.functions.columns import row_hash
+from tabwright.functions.columns import as_text
 from tabwright.operators.dispatch import fit_transform, transform_summary
 from tabwright.operators.profile import null_counts
 
@@ -37,9 +37,22 @@ def now() -> dt.datetime:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and two order-independent sums of row hashes, one row."""
-    h = row_hash(df)
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"))
+    """Row count and two order-independent sums over digests of the rows, one row.
+
+    A row's digest is the MD5 of its cells as text, each with its length in bytes, so neither
+    neighbouring cells nor missing ones can be mistaken for each other.
+    """
+    cells = []
+    for f in df.schema:
+        text = as_text(f.name, f.dataType)
+        cells.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    digest = F.md5(F.concat(*cells))
+    low, high = (F.conv(F.substring(F.col("d"), at, 15), 16, 10).cast("bigint") for at in (1, 17))
+    rows = df.select(digest.alias("d"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("row_count"), F.coalesce(F.bit_xor(low), F.lit(0).cast("bigint")).alias("hash_xor"),
+        F.coalesce(F.sum(high.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
+    )
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -53,6 +53,18 @@ def test_encoding(spark, tmp_path):
     assert readers.read_table(spark, write(tmp_path, "utf.csv", "name\ncafé\n")).first().name == "café"
 
 
+def test_delimited_oddities(spark, tmp_path):
+    signs = tmp_path / "signs.csv"
+    signs.write_bytes("name,n\n5 €,1\n„ok“,2\n".encode("cp1252"))
+    assert [r.name for r in readers.read_table(spark, str(signs)).orderBy("n").collect()] == ["5 €", "„ok“"]
+    broken = write(tmp_path, "broken.csv", 'a,b\n1,"two\nlines, ""quoted"""\n2,plain\n')
+    assert [tuple(r) for r in readers.read_table(spark, broken).orderBy("a").collect()] == [(1, 'two\nlines, "quoted"'), (2, "plain")]
+    ragged = write(tmp_path, "ragged.csv", "a,b\n1\n2,x,y\n3,z\n")
+    assert [tuple(r) for r in readers.read_table(spark, ragged).orderBy("a").collect()] == [(1, None), (2, "x"), (3, "z")]
+    with pytest.raises(Exception):
+        readers.read_table(spark, ragged, strict=True).collect()
+
+
 def test_json(spark, tmp_path):
     array = readers.read_table(spark, write(tmp_path, "a.json", '\n [\n {"a": 1, "b": "x"},\n {"a": 2, "b": null}\n]'))
     lines = readers.read_table(spark, write(tmp_path, "l.json", '{"a": 1, "b": "x"}\n{"a": 2, "b": null}\n'))

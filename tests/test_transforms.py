@@ -216,6 +216,15 @@ def test_sort_and_page(spark):
             page_rows(df, page, size)
 
 
+def test_duplicates_with_maps(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, map('a', 1, 'b', 2), 5), (1, map('b', 2, 'a', 1), 5), (2, map('a', 1), 6), (2, map('a', 3), 4) AS t(k, m, v)")
+    assert duplicate_count(df).first().duplicate_count == 1
+    assert run_transform(df, "remove_duplicates", {}).count() == 3
+    kept = run_transform(df, "remove_duplicates", {"subset": ["k"], "keep": "last", "order_by": ["v"]})
+    assert sorted((r.k, r.m, r.v) for r in kept.collect()) == [(1, {"a": 1, "b": 2}, 5), (2, {"a": 1}, 6)]
+    assert run_transform(df, "remove_duplicates", {"subset": ["m"]}).count() == 3
+
+
 def test_sort_spreads_a_hot_key(spark):
     df = spark.range(0, 60_000, 1, 6).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"), F.lit("x").alias("v"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
