@@ -114,3 +114,13 @@ def page_rows(df: DataFrame, page: int, page_size: int, order_by: str | Sequence
         raise ValueError("page must be at least 1 and page_size between 1 and 500.")
     df = normalize_non_finite(df)
     return rows_from_rank(df, order_keys(df, order_by), (page - 1) * page_size, page_size)
+
+
+def page_info(df: DataFrame, page: int, page_size: int) -> DataFrame:
+    """What goes with a page, one row: sizes of the table and the types of its columns."""
+    rows = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    types = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    return rows.select(
+        F.lit(page).cast("bigint").alias("page"), F.lit(page_size).cast("bigint").alias("page_size"), "total_rows",
+        F.ceil(F.col("total_rows") / F.lit(page_size)).alias("total_pages"), F.lit(len(df.columns)).cast("bigint").alias("total_columns"), F.lit(types).alias("types"),
+    )

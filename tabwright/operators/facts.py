@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabwright.functions.columns import (
-    as_text, categorical_columns, col, dtype, finite, is_date, is_nested, is_numeric, normalize_non_finite, order_keys,
+    INFINITY, as_text, categorical_columns, col, dtype, finite, is_date, is_float, is_nested, is_numeric, normalize_non_finite, order_keys,
 )
 from tabwright.functions.text import DIRTY_WORDS, looks_like_date, looks_like_float
 from tabwright.operators.dedup import duplicate_count
@@ -37,6 +37,7 @@ class ColumnFacts:
     last_text: str | None = None
     numeric_looks: int = 0
     date_looks: int = 0
+    non_finite: int = 0
 
 
 @dataclass
@@ -79,12 +80,15 @@ def _measures(name: str, t: T.DataType, i: int, detail: bool) -> list[Column]:
 def measure(df: DataFrame, detail: bool = True) -> TableFacts:
     """Counts of all columns and whether they vary; with ``detail`` also moments, bounds and
     text looks."""
-    df = normalize_non_finite(df)
     fields = list(df.schema)
+    odd = {f.name: f"__odd{i}" for i, f in enumerate(fields) if is_float(f.dataType)}
+    flags = [(F.isnan(col(c)) | col(c).isin(INFINITY, -INFINITY)).alias(flag) for c, flag in odd.items()]
+    df = df.select(*[finite(f.name, f.dataType).alias(f.name) for f in fields], *flags)
     rows, facts, unsure = None, {}, []
     for start in range(0, max(len(fields), 1), BATCH):
         part = fields[start : start + BATCH]
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, f in enumerate(part) for m in _measures(f.name, f.dataType, i, detail)]).first()
+        strange = [F.count_if(F.col(odd[f.name])).alias(f"odd{i}") for i, f in enumerate(part) if f.name in odd]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, f in enumerate(part) for m in _measures(f.name, f.dataType, i, detail)], *strange).first()
         rows = row["rows"] if rows is None else rows
         r = row.asDict()
         for i, f in enumerate(part):
@@ -93,7 +97,7 @@ def measure(df: DataFrame, detail: bool = True) -> TableFacts:
             facts[f.name] = ColumnFacts(
                 f.name, f.dataType, r[f"n{i}"], r.get(f"one{i}", r.get(f"hash{i}")) is not False,
                 r.get(f"mean{i}"), r.get(f"std{i}"), r.get(f"min{i}"), r.get(f"max{i}"),
-                r.get(f"first{i}"), r.get(f"last{i}"), r.get(f"num{i}", 0), r.get(f"date{i}", 0),
+                r.get(f"first{i}"), r.get(f"last{i}"), r.get(f"num{i}", 0), r.get(f"date{i}", 0), r.get(f"odd{i}", 0),
             )
     if unsure:
         texts = {c: as_text(c, dtype(df, c)) for c in unsure}

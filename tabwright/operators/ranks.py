@@ -13,6 +13,8 @@ from tabwright.operators.quantiles import values_at_ranks
 # Rows with equal leading keys that are sorted together instead of being told apart further.
 # A bound on all tasks together, as the rows on both sides are cut off.
 TIES = 10_000
+# Rows up to the end of a page near the start, which is a plain top-k.
+TOP_ROWS = 500
 # Leading bytes of a text that fit, with their number, a double that a sketch holds exactly.
 TEXT_DIGIT_BYTES = 6
 
@@ -100,15 +102,18 @@ def _locate(df: DataFrame, keys: list[str], rank: int, size: int) -> _Boundary:
 def rows_from_rank(df: DataFrame, keys: list[str], offset: int, n: int) -> DataFrame:
     """``n`` rows from 0-based rank ``offset`` in the order of ``keys``, missing values first.
 
-    The keys at the first and at the last rank are found by exact selection, and only the rows
-    between them, at most ``n`` and two times ``TIES``, are sorted. Rows that are alike in all
-    keys may be a crowd: the page takes as many of them as it holds.
+    The first rows of a table are a top-k. For pages further on, the keys at the first and at
+    the last rank are found by exact selection, and only the rows between them, at most ``n``
+    and two times ``TIES``, are sorted. Rows that are alike in all keys may be a crowd: the page
+    takes as many of them as it holds.
     """
+    order = [col(c).asc_nulls_first() for c in keys]
+    if offset + n <= TOP_ROWS:
+        return df.orderBy(*order).offset(offset).limit(n)
     size = df.count()
     n = min(n, size - offset)
     if n <= 0:
         return df.limit(0)
-    order = [col(c).asc_nulls_first() for c in keys]
     low, high = _locate(df, keys, offset, size), _locate(df, keys, offset + n - 1, size)
     until = high.before | high.equal
     if low.crowd <= TIES:

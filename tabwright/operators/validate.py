@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from tabwright.functions.columns import INFINITY, col, dtype, is_float
+from tabwright.functions.columns import col, dtype, is_float
 from tabwright.operators import facts as fx
 from tabwright.operators.facts import TableFacts, percentage
 
@@ -55,13 +55,9 @@ def name_rows(names: list[str]) -> list[tuple]:
     return [("COLUMN_NAMES_VALIDITY", "warning", n, 0) for n in bad]
 
 
-def finite_rows(df: DataFrame) -> list[tuple]:
+def finite_rows(table: TableFacts) -> list[tuple]:
     """NaN and infinities of the table as stored."""
-    names = [c for c in df.columns if is_float(dtype(df, c))]
-    if not names:
-        return []
-    row = df.agg(*[F.count_if(F.isnan(col(c)) | col(c).isin(INFINITY, -INFINITY)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    return [("NUMERICAL_FINITENESS", "critical", c, row[f"n{i}"]) for i, c in enumerate(names) if row[f"n{i}"]]
+    return [("NUMERICAL_FINITENESS", "critical", c, f.non_finite) for c, f in table.columns.items() if f.non_finite]
 
 
 def validate_non_empty(df: DataFrame) -> DataFrame:
@@ -81,7 +77,7 @@ def validate_constant(df: DataFrame) -> DataFrame:
 
 
 def validate_finite(df: DataFrame) -> DataFrame:
-    return _frame(df, finite_rows(df))
+    return _frame(df, finite_rows(fx.measure(df.select(*[col(c) for c in df.columns if is_float(dtype(df, c))]), detail=False)))
 
 
 def validate_column_names(df: DataFrame) -> DataFrame:
@@ -92,7 +88,7 @@ def all_rows(df: DataFrame) -> list[tuple]:
     table = fx.measure(df, detail=False)
     return [
         *non_empty_rows(table), *name_rows(df.columns), *duplicate_rows(fx.duplicates(df)),
-        *null_rows(table), *finite_rows(df), *constant_rows(table),
+        *null_rows(table), *finite_rows(table), *constant_rows(table),
     ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabwright.functions.columns import normalize_non_finite
 from tabwright.functions.text import clean_numeric_text
 from tabwright.operators.cast import CastType, cast_report
-from tabwright.operators.dedup import duplicate_count, head_sample, page_rows
+from tabwright.operators.dedup import duplicate_count, head_sample, page_info, page_rows
 from tabwright.operators.dispatch import run_transform, transform_summary
 from tabwright.operators.filters import search_rows
 from tabwright.operators.preview import destructive_check, preview
@@ -241,11 +241,25 @@ def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("transform_preview", _preview,
     "SELECT 'filter_rows' AS operation, n AS rows_before, k AS rows_after, CAST(8 AS BIGINT) AS columns_before, CAST(8 AS BIGINT) AS columns_after, "
     "n - k AS affected_row_count, CAST(0 AS BIGINT) AS affected_column_count, '' AS columns_added, '' AS columns_removed, k = 0 AS is_empty_result, "
-    "k > 0 AND n - k > n * 0.25 AND n > k AS is_data_loss, k > 0 AS validation_passed, "
+    "k > 0 AND n - k > n * 0.25 AND n > k AS is_data_loss, CAST(NULL AS BIGINT) AS valid_count, CAST(NULL AS BIGINT) AS invalid_count, "
+    "k = 0 OR (n - k > n * 0.25 AND n > k) AS is_potentially_destructive, k > 0 AS validation_passed, "
     "CASE WHEN k = 0 THEN 'Operation drops 100% of rows.' ELSE '' END AS validation_message "
     "FROM (SELECT count(*) AS n, count(CASE WHEN value > 30 THEN 1 END) AS k FROM dirty_events)")
 
 
+def _preview_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview(view(spark, sf_dir, "dirty_events"), "cast_type", {"column": "amount_text", "target_type": "integer"}).report.select(
+        "operation", "rows_before", "rows_after", "valid_count", "invalid_count", "is_potentially_destructive")
+
+
+add("transform_preview_cast", _preview_cast,
+    "SELECT 'cast_type' AS operation, n AS rows_before, n AS rows_after, k AS valid_count, n - k AS invalid_count, n > k AS is_potentially_destructive FROM "
+    "(SELECT count(*) AS n, count(CASE WHEN regexp_full_match(replace(replace(amount_text, '$', ''), ',', ''), '[0-9]+') THEN 1 END) AS k FROM dirty_events)")
+add("page_info", report("orders", page_info, 7, 50),
+    "SELECT CAST(7 AS BIGINT) AS page, CAST(50 AS BIGINT) AS page_size, count(*) AS total_rows, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages, "
+    "CAST(6 AS BIGINT) AS total_columns, 'o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string' AS types FROM orders")
+
+
 def _destructive(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = view(spark, sf_dir, "dirty_events")
     params = {"column": "amount_text", "target_type": "integer"}
