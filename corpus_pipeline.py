@@ -14,6 +14,8 @@ from tabwright.llm.near_dedup import keep_one_of_each
 from tabwright.llm.packing import pack
 from tabwright.llm.queries import SEQUENCE, TOKENIZER, table
 
+NEAR_PERCENT = 80  # lower than in op10_minhash, which has a contract of its own
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -28,8 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one_of_each(docs)
+    """One document of each group of near duplicates: those with NEAR_PERCENT of their shingles in common."""
+    return keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

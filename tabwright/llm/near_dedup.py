@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +14,36 @@ from tabwright.llm.common import column, small_batches, small_side, texts, writt
 from tabwright.llm.components import components
 
 WIDTH = 5  # words of a shingle
-PERCENT = 85  # least share of common shingles, in hundredths
-# A signature has CHUNKS chunks of CHUNK_WIDTH symbols of 16 bits. Two sets of Jaccard similarity
-# 0.85 differ in 6 of the 40 symbols on average (standard deviation 2.3) and in more than
-# DISTANCE ones with probability 0.0002. If at most DISTANCE = 2 * CHUNKS - 1 symbols differ,
-# some chunk differs in at most one: so every pair within DISTANCE agrees, in some chunk, on
-# all symbols but one, and shares the key made of these.
-CHUNKS, CHUNK_WIDTH, DISTANCE = 8, 5, 15
-SYMBOLS = CHUNKS * CHUNK_WIDTH
+PERCENT = 85  # least share of common shingles, in hundredths, where the caller names none
+# A signature has SYMBOLS symbols of 16 bits, cut into chunks. If fewer than two symbols for each
+# chunk differ, some chunk differs in at most one: so every pair within that distance agrees, in
+# some chunk, on all symbols but one, and shares the key made of these. Two sets with exactly the
+# least share of shingles exceed the distance with a probability of at most MISSED.
+SYMBOLS, MISSED = 40, 0.0002
+CHUNK_WIDTHS = (8, 5, 4, 3)
 # A bucket or group is worked on in pairs of blocks of at most this many members or shingles.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 8192, 4_000_000
 WORDS_AT_ONCE = 100_000
 
+
+def scheme(percent: int) -> tuple[int, int]:
+    """``(chunk width, distance)`` that find pairs of this share: the widest chunks, which have the
+    fewest chance members, and then the least distance."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be between 1 and 100")
+
+    def missed(distance: int) -> float:
+        p = 1 - percent / 100
+        return sum(comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in range(distance + 1, SYMBOLS + 1))
+
+    for width in CHUNK_WIDTHS:
+        if missed(most := 2 * (SYMBOLS // width) - 1) <= MISSED:
+            return width, next(d for d in range(most + 1) if missed(d) <= MISSED)
+    raise ValueError(f"Signatures of {SYMBOLS} symbols do not find pairs of {percent} %")
+
+
+CHUNK_WIDTH, DISTANCE = scheme(PERCENT)
+
 _random = np.random.default_rng(20_240_229)
 BYTE_CODES = _random.integers(0, 1 << 64, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,13 +103,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """``[row, chunk * CHUNK_WIDTH + error]``: the key of a chunk with one symbol left out."""
-    keys = np.empty((len(signatures), SYMBOLS), np.uint64)
-    for i in range(SYMBOLS):
-        chunk = i // CHUNK_WIDTH * CHUNK_WIDTH
+def chunk_keys(signatures: np.ndarray, width: int = CHUNK_WIDTH) -> np.ndarray:
+    """``[row, chunk * width + error]``: the key of a chunk with one symbol left out."""
+    keys = np.empty((len(signatures), SYMBOLS // width * width), np.uint64)
+    for i in range(keys.shape[1]):
+        chunk = i // width * width
         packed = np.full(len(signatures), np.uint64(i), np.uint64)
-        for k in range(chunk, chunk + CHUNK_WIDTH):
+        for k in range(chunk, chunk + width):
             if k != i:
                 packed = packed * BASE + mix(signatures[:, k].astype(np.uint64) + np.uint64(1))
         keys[:, i] = mix(packed)
@@ -174,13 +194,13 @@ def linked_within(rows: DataFrame, key: str, value: str, spread: Callable[[list[
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_pairs(values: pa.Array, firsts: np.ndarray) -> np.ndarray:
+def near_pairs(values: pa.Array, firsts: np.ndarray, distance: int) -> np.ndarray:
     table = np.frombuffer(b"".join(values.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-    return (table[firsts] != table[firsts + 1]).sum(axis=1) <= DISTANCE
+    return (table[firsts] != table[firsts + 1]).sum(axis=1) <= distance
 
 
-def near_links(values: list[bytes], nodes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A forest over the members that are connected by signatures within DISTANCE. A member
+def near_links(values: list[bytes], nodes: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+    """A forest over the members that are connected by signatures within the distance. A member
     reached from another is not compared with the members reached before, so a bucket of alike
     members takes one comparison each."""
     table = np.frombuffer(b"".join(values), np.uint16).reshape(-1, SYMBOLS)
@@ -189,15 +209,15 @@ def near_links(values: list[bytes], nodes: np.ndarray) -> Iterator[tuple[int, in
         front, open_rows = [open_rows[0]], open_rows[1:]
         while front and len(open_rows):
             at = front.pop()
-            near = (table[open_rows] != table[at]).sum(axis=1) <= DISTANCE
+            near = (table[open_rows] != table[at]).sum(axis=1) <= distance
             for other in open_rows[near]:
                 yield at, other
             front.extend(open_rows[near])
             open_rows = open_rows[~near]
 
 
-def exact_links(values: list[bytes], nodes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The same forest for sets with PERCENT hundredths of their union in common."""
+def exact_links(values: list[bytes], nodes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """The same forest for sets with ``percent`` hundredths of their union in common."""
     sets = [np.frombuffer(v, np.uint64) for v in values]
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -216,7 +236,7 @@ def exact_links(values: list[bytes], nodes: np.ndarray) -> Iterator[tuple[int, i
             mark[own[at]] = True
             common = np.add.reduceat(mark[open_codes], open_begins, dtype=np.int64)
             mark[own[at]] = False
-            near = 100 * common >= PERCENT * (sizes[open_rows] + sizes[at] - common)
+            near = 100 * common >= percent * (sizes[open_rows] + sizes[at] - common)
             if near.any():
                 for other in open_rows[near]:
                     yield at, other
@@ -231,31 +251,33 @@ def _without(codes: np.ndarray, begins: np.ndarray, keep: np.ndarray) -> tuple[n
     return codes[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(left)])[:-1].astype(np.int64)
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """Links that connect all nodes with signatures within DISTANCE, from ``(node, signature)``."""
+def candidate_links(nodes: DataFrame, percent: int) -> DataFrame:
+    """Links that connect all nodes with signatures within the distance for ``percent``, from
+    ``(node, signature)``."""
+    width, distance = scheme(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             if len(table):
-                keys = chunk_keys(table)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), SYMBOLS))], ["key", "node"])
+                keys = chunk_keys(table, width)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], ["key", "node"])
 
     keys = nodes.select("node", "signature").mapInArrow(run, "key bigint, node bigint")
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
     members = written(keys.join(shared, "key"), "members").withColumn("blocks", F.ceil(F.col("members") / BLOCK_MEMBERS))
     rows = in_blocks(members.select("key", "blocks", "node").join(nodes.select("node", "signature"), "node"), "key", "blocks")
-    return linked_within(rows, "key", "signature", near_links, near_pairs)
+    return linked_within(rows, "key", "signature", partial(near_links, distance=distance), partial(near_pairs, distance=distance))
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The written table of sets, and ``(node, component_id)`` of all nodes."""
     small_batches(docs.sparkSession)
     sets = written(read_sets(docs, id_col, text_col), "sets")
     nodes = written(
         sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("source"), F.max("n").alias("n"), F.max("signature").alias("signature")), "nodes"
     )
-    groups = written(components(candidate_links(nodes)), "groups")
+    groups = written(components(candidate_links(nodes, percent)), "groups")
     # Whole sets of the nodes that have a candidate, read again from one text of each node.
     wanted = groups.join(nodes, "node").select("node", "label", "n", F.col("source.doc_id").alias("w_id"), F.col("source.text_key").alias("w_key"))
     weights = wanted.groupBy("label").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
@@ -270,7 +292,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), hashes], ["label", "blocks", "node", "hashes"])
 
     whole = in_blocks(found.mapInArrow(run, "label bigint, blocks bigint, node bigint, hashes binary"), "label", "blocks")
-    linked = components(linked_within(whole, "label", "hashes", exact_links))
+    linked = components(linked_within(whole, "label", "hashes", partial(exact_links, percent=percent)))
     linked = written(linked.withColumnRenamed("label", "component"), "components")
     least = linked.join(nodes, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
     joined = linked.join(least, "component").select("node", "component_id")
@@ -278,29 +300,29 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return sets, written(every, "classes")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
 
-    Documents are linked if their shingle sets have PERCENT hundredths of their union in common;
+    Documents are linked if their shingle sets have ``percent`` hundredths of their union in common;
     ``component_id`` is the least id reachable over links, and the document of that id is kept.
     A null or empty text, or one without words, has no shingles and no links. Rows with equal
     sets are one node from the start, so copies cost nothing. A null id loses against any id;
     rows that repeat an id and a text share their result; other columns are not read.
 
-    Candidates come from the signatures by chunk keys with one error (see CHUNKS); they connect
+    Candidates come from the signatures by chunk keys with one error (see SYMBOLS); they connect
     nodes into groups, and within each group links are decided on the whole sets. Buckets and
     groups are worked on in pairs of blocks, so none is held whole if it is large.
     """
-    sets, classes = link_classes(docs, id_col, text_col)
+    sets, classes = link_classes(docs, id_col, text_col, percent)
     labelled = sets.join(classes, "node", "left")
     component = F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id")))
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows without near duplicates: of each component the document with the least id, and of
     rows that share this id and its set all; columns are unchanged."""
-    sets, classes = link_classes(docs, id_col, text_col)
+    sets, classes = link_classes(docs, id_col, text_col, percent)
     dropped = written(
         sets.join(classes, "node").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dropped"
     )

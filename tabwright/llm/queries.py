@@ -77,7 +77,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 for query in (op1_token_counts, op2_decontamination, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op9_line_dedup, op10_minhash):

@@ -8,8 +8,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from oracle import compare, connect
@@ -276,6 +278,30 @@ def test_signature_join_guarantee():
     assert (near_dedup.chunk_keys(a) == near_dedup.chunk_keys(b)).any(axis=1).all()
 
 
+def test_near_duplicates_at_a_lower_share(spark):
+    assert (near_dedup.scheme(85), near_dedup.scheme(80)) == ((5, 15), (4, 18))
+    rng = random.Random(12)
+    rows = []
+    for base in range(40):  # 100 shingles, of which 90 stay: 90 of 110 in common, a share of 0.82
+        text = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        rows += [(base, " ".join(text)), (100 + base, " ".join([*text[:94], *(f"n{rng.randrange(10**9)}" for _ in range(10))]))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert near_dedup.keep_one_of_each(table, percent=85).count() == 80
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one_of_each(table, percent=80).collect()) == list(range(40))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()) == list(range(40))
+
+
+def test_near_keys_at_a_lower_share():
+    width, distance = near_dedup.scheme(80)
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 16, (200, near_dedup.SYMBOLS)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(near_dedup.SYMBOLS, distance, replace=False)] ^= 1
+    assert (near_dedup.chunk_keys(a, width) == near_dedup.chunk_keys(b, width)).any(axis=1).all()
+    assert len(near_dedup.near_pairs(pa.array([a[0].tobytes(), b[0].tobytes()]), np.array([0]), distance)) == 1
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 7), (5, 5)], "a bigint, b bigint")
     got = {r["node"]: r["label"] for r in components(links).collect()}
