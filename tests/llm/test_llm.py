@@ -226,6 +226,21 @@ def test_line_dedup(spark, none):
     assert line_dedup.without_repeats(table).columns == table.columns
 
 
+def test_long_lines_that_repeat_between_other_lines(spark):
+    long = [" ".join(f"word{k}x{i}" for i in range(60)) for k in range(20)]
+    rows = []
+    for i in range(40):  # every long line twice, in texts that are no copies; one line of 49 words in all
+        shared = [long[i % 20], " ".join(["few"] * 49)]
+        rows.append((i, "\n".join([f"own {i} a", f"own {i} b", *shared, f"own {i} c", f"own {i} d"])))
+    rows += [(50, long[0]), (51, long[0] + "\n" + long[0])]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table).collect()}
+    kept = Counter(line for r in got.values() for line in r["text"].split("\n"))
+    assert all(kept[line] == 1 for line in long) and kept[" ".join(["few"] * 49)] == 40
+    assert all(long[i] in got[i]["text"] for i in range(20))
+    assert (got[50]["text"], got[50]["removed_lines"], got[51]["text"], got[51]["removed_lines"]) == ("", 1, "", 2)
+
+
 def brute_components(rows):
     sets = {}
     for k, (doc_id, text) in enumerate(rows):
