@@ -34,7 +34,7 @@ def _bodies(rows: DataFrame) -> DataFrame:
     text told apart, and is empty for other chunks; ``alone`` is whether such a line has neighbours.
     """
     # No text is without chunks. A plain explode would filter on that, and work the nested lists out again for each line.
-    chunks = _with_chunks(rows).select("doc_id", "text_key", "lines", F.explode_outer("chunks").alias("c")).filter("NOT c.short")
+    chunks = _with_chunks(rows).select("doc_id", "text_key", "lines", F.explode_outer("chunks").alias("c"))
     first, last = F.col("c.first"), F.col("c.last")
     body = F.array_join(F.slice("lines", first, last - first + 1), "\n")
     before = F.when(first == 1, "^").otherwise(F.concat(F.lit("<"), F.try_element_at("lines", F.nullif(first - 1, F.lit(0)))))

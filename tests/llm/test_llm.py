@@ -241,6 +241,23 @@ def test_long_lines_that_repeat_between_other_lines(spark):
     assert (got[50]["text"], got[50]["removed_lines"], got[51]["text"], got[51]["removed_lines"]) == ("", 1, "", 2)
 
 
+def test_copies_leave_no_lines(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):  # paragraphs with blank lines and common lines between, so that many chunks are one short line
+        lines = [rng.choice(["", "common", f"own {i} {k}", " ".join(f"p{i}x{k}x{w}" for w in range(60))]) for k in range(rng.randrange(1, 30))]
+        rows += [(i, "\n".join([f"text {i}", *lines])), (100 + i, "\n".join([f"text {i}", *lines]))]
+    rows += [(200, "one short text"), (201, "one short text"), (202, "a\none short text\nb"), (203, ""), (204, ""), (205, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table).collect()}
+    assert all(got[100 + i]["text"] == "" for i in range(60)) and got[201]["text"] == ""
+    assert got[202]["removed_lines"] == got[203]["removed_lines"] == got[204]["removed_lines"] == 0
+    kept = Counter(line for r in got.values() for line in (r["text"] or "").split("\n"))
+    assert all(kept[line] for _, text in rows for line in (text or "").split("\n"))  # nothing is lost altogether
+    left = {r["doc_id"] for r in line_dedup.without_repeats(table).collect()}
+    assert left == {*range(60), 200, 202, 203, 204, 205}
+
+
 def brute_components(rows):
     sets = {}
     for k, (doc_id, text) in enumerate(rows):
