@@ -175,8 +175,8 @@ def box_outliers(df: DataFrame, column: str, order_by=None, n: int = BOX_OUTLIER
     return df.filter((x < F.lit(low)) | (x > F.lit(high))).orderBy(*[col(c) for c in order_keys(df, order_by)]).limit(n).select(x.alias("value"))
 
 
-def chart_grouped_box(df: DataFrame, column: str, group: str, groups: int = BOX_GROUPS) -> DataFrame:
-    """Box statistics per category for the first thirty categories by name.
+def chart_grouped_box(df: DataFrame, column: str, group: str, groups: int | None = None) -> DataFrame:
+    """Box statistics per category, of all categories or of the first ``groups`` by name.
 
     Each category is a conditional column of one exact quantile search, so a category with a
     third of the rows is never gathered in one task.
@@ -186,8 +186,11 @@ def chart_grouped_box(df: DataFrame, column: str, group: str, groups: int = BOX_
     label = as_text(group, dtype(df, group))
     x = numeric_expr(df, column)
     present = df.filter(x.isNotNull() & label.isNotNull())
-    names = [r["g"] for r in present.groupBy(label.alias("g")).agg(F.count(F.lit(1)).alias("n")).orderBy("g").limit(groups).collect()]
-    rows = _box_rows(present, {g: F.when(label == F.lit(g), x) for g in names})
+    named = present.groupBy(label.alias("g")).agg(F.count(F.lit(1)).alias("n")).orderBy("g")
+    names = [r["g"] for r in (named if groups is None else named.limit(groups)).collect()]
+    rows = []
+    for at in range(0, len(names), BOX_GROUPS):  # so many columns in one search
+        rows += _box_rows(present, {g: F.when(label == F.lit(g), x) for g in names[at : at + BOX_GROUPS]})
     return df.sparkSession.createDataFrame(rows, f"`group` string, {BOX_SCHEMA}")
 
 

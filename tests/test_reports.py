@@ -190,3 +190,10 @@ def test_charts_by_name(people):
 def test_chart_rejections(people, kind, columns):
     with pytest.raises(ValueError):
         charts.generate_chart(people, kind, columns)
+
+
+def test_grouped_box_has_all_groups(spark):
+    table = spark.createDataFrame([(float(i), f"g{i % 35:02d}") for i in range(70)], "v double, g string")
+    got = charts.chart_grouped_box(table, "v", "g").collect()
+    assert [r["group"] for r in got] == [f"g{i:02d}" for i in range(35)]
+    assert charts.chart_grouped_box(table, "v", "g", 3).count() == 3
