@@ -11,6 +11,7 @@ from tabwright.llm.decontaminate import find_leaks
 from tabwright.llm.exact_dedup import exact_dedup
 from tabwright.llm.language_id import identify
 from tabwright.llm.line_dedup import dedup_lines
+from tabwright.llm.mixing import mix
 from tabwright.llm.near_dedup import near_duplicates
 from tabwright.llm.packing import pack
 from tabwright.llm.sharding import shard
@@ -80,7 +81,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-for query in (op1_token_counts, op2_decontamination, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op9_line_dedup, op10_minhash):
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))[1]
+
+
+for query in (op1_token_counts, op2_decontamination, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op9_line_dedup, op10_minhash, op12_mixing):
     QUERIES[query.__name__] = query
 
 ORACLES["op4_exact_dedup"] = """
@@ -95,3 +100,23 @@ ORACLES["op6_warc"] = """
       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
     FROM g"""
+
+# The order within a source and the queue, as in the query: digest of the id, two passes, finish time.
+ORACLES["op12_mixing"] = r"""
+    WITH w AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(source, '') AS src,
+        source IS NULL AS no_src, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS k FROM documents),
+    s AS (SELECT src, no_src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY no_src, src) - 1 AS place FROM w GROUP BY src, no_src),
+    v AS (SELECT *, [5.0, 2.0, 1.0][place % 3 + 1]::DOUBLE AS weight, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS budget FROM s),
+    c AS (SELECT *, budget - coalesce(sum(2 * source_size) OVER o, 0) AS words, sum(weight) OVER (ORDER BY source_size / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+        FROM v WINDOW o AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT words, rest FROM c WHERE weight * words / rest <= 2 * source_size ORDER BY words DESC LIMIT 1),
+    t AS (SELECT src, no_src, place, source_size, CAST(floor(budget) AS BIGINT) AS budget,
+        CASE WHEN weight * l.words / l.rest > 2 * source_size THEN CAST(2 * source_size AS DOUBLE) ELSE weight * l.words / l.rest END AS target FROM v, l),
+    p AS (SELECT doc_id, size, place, source_size, budget, target, row_number() OVER () AS row_no,
+        sum(size) OVER (PARTITION BY src, no_src ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM w JOIN t USING (src, no_src)),
+    q AS (SELECT *, pass * source_size + upto - size AS begun FROM p, (VALUES (0), (1)) AS two(pass)),
+    r AS (SELECT row_no, place, begun, budget, least(size, CAST(ceil(target) AS BIGINT) - begun) AS words,
+        least(begun + size, CAST(ceil(target) AS BIGINT)) / target AS finish FROM q WHERE size > 0 AND target > 0),
+    m AS (SELECT row_no, least(words, budget - (sum(words) OVER (ORDER BY finish, place, begun ROWS UNBOUNDED PRECEDING) - words)) AS words FROM r WHERE words > 0),
+    a AS (SELECT row_no, sum(words) AS words FROM m WHERE words > 0 GROUP BY row_no)
+    SELECT doc_id, size, source_size, target, CAST(coalesce(a.words, 0) AS BIGINT) AS taken FROM p LEFT JOIN a USING (row_no)"""
