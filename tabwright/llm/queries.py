@@ -14,6 +14,7 @@ from tabwright.llm.line_dedup import dedup_lines
 from tabwright.llm.mixing import mix
 from tabwright.llm.near_dedup import near_duplicates
 from tabwright.llm.packing import pack
+from tabwright.llm.prefix_trie import conversation_paths, prefix_trie, share_starts
 from tabwright.llm.sharding import shard
 from tabwright.llm.token_counts import count_tokens
 from tabwright.llm.url_filter import filter_urls
@@ -81,11 +82,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(share_starts(conversation_paths(table(spark, sf_dir, "conversations"))))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[1]
 
 
-for query in (op1_token_counts, op2_decontamination, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op9_line_dedup, op10_minhash, op12_mixing):
+for query in (op1_token_counts, op2_decontamination, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op9_line_dedup, op10_minhash, op11_prefix_trie, op12_mixing):
     QUERIES[query.__name__] = query
 
 ORACLES["op4_exact_dedup"] = """
@@ -120,3 +125,25 @@ ORACLES["op12_mixing"] = r"""
     m AS (SELECT row_no, least(words, budget - (sum(words) OVER (ORDER BY finish, place, begun ROWS UNBOUNDED PRECEDING) - words)) AS words FROM r WHERE words > 0),
     a AS (SELECT row_no, sum(words) AS words FROM m WHERE words > 0 GROUP BY row_no)
     SELECT doc_id, size, source_size, target, CAST(coalesce(a.words, 0) AS BIGINT) AS taken FROM p LEFT JOIN a USING (row_no)"""
+
+# The CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length({s})), lambda i: ascii(substr({s}, i + 1, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, one: xor(x >> 1, (x & one) * 3988292384))), 4294967295)"""
+
+ORACLES["op11_prefix_trie"] = rf"""
+    WITH t AS (SELECT conv_id, list(struct_pack(d := d, w := w) ORDER BY turn NULLS FIRST, r, d) AS turns FROM (
+        SELECT conv_id, turn, coalesce(role, '') AS r, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+    c AS (SELECT conv_id, turns, {_CRC.format(s="CAST(conv_id AS VARCHAR)")} % 4 AS h FROM t),
+    b AS (SELECT c.conv_id, coalesce(g.turns, [])[1:h] || c.turns[h + 1:] AS turns FROM c LEFT JOIN t AS g ON g.conv_id = c.conv_id - c.conv_id % 20),
+    p AS (SELECT conv_id, d AS depth, len(turns) = d AS ends, array_to_string(list_transform(turns[1:d], lambda x: x.d), '') AS k,
+        array_to_string(list_transform(turns[1:d - 1], lambda x: x.d), '') AS up, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w
+        FROM b, unnest(range(len(turns) + 1)) AS u(d)),
+    n AS (SELECT k, any_value(depth) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY k),
+    f AS (SELECT up AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+    s AS (SELECT a.k, sum(m.own) AS saved_tokens, count(*) FILTER (f.k IS NULL) AS n_leaves
+        FROM n AS m LEFT JOIN f ON f.k = m.k JOIN p AS a ON a.conv_id = m.conv_id AND a.depth <= m.depth GROUP BY a.k)
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, v.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, s.n_leaves,
+      CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM n JOIN s ON s.k = n.k LEFT JOIN f ON f.k = n.k LEFT JOIN n AS v ON v.k = n.up AND n.depth > 0"""
