@@ -15,6 +15,7 @@ from tabwright.llm.mixing import mix
 from tabwright.llm.near_dedup import near_duplicates
 from tabwright.llm.packing import pack
 from tabwright.llm.prefix_trie import conversation_paths, prefix_trie, share_starts
+from tabwright.llm.repetitions import periodic_runs
 from tabwright.llm.sharding import shard
 from tabwright.llm.token_counts import count_tokens
 from tabwright.llm.url_filter import filter_urls
@@ -90,7 +91,14 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[1]
 
 
-for query in (op1_token_counts, op2_decontamination, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op9_line_dedup, op10_minhash, op11_prefix_trie, op12_mixing):
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
+for query in (
+    op1_token_counts, op2_decontamination, op3_url_filter, op4_exact_dedup, op5_packing, op6_warc, op7_sharding, op8_language_id, op9_line_dedup,
+    op10_minhash, op11_prefix_trie, op12_mixing, op13_periodic_runs,
+):
     QUERIES[query.__name__] = query
 
 ORACLES["op4_exact_dedup"] = """
