@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import regex
 
@@ -29,6 +31,8 @@ CACHE_WORDS, CACHED_LENGTH = 1_000_000, 48
 CACHE_PAIRS = 2_000_000
 # Pieces of more bytes are worked through from the front, without recursion.
 DEEP = 400
+# White space of at least so many characters is no matter for a backtracking pattern.
+BLANKS = regex.compile(r"\s{1000,}")
 
 
 def split(text: str) -> list[str]:
@@ -70,6 +74,10 @@ class Vocabulary:
             for byte in reversed(token):
                 node = node.setdefault(byte, {})
             node[-1] = i
+        self.automaton = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+        self.automaton.make_automaton()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
 
@@ -179,13 +187,39 @@ class PrefixProgram:
             return
         raise ValueError(f"no token of the vocabulary ends at byte {end}")
 
+    def _from_front(self, data: bytes) -> array:
+        """Token counts of all prefixes. The tokens that end at each byte come from one pass of an
+        automaton over the bytes, longest first."""
+        last, counts, apart = array("i", bytes(4 * len(data) + 4)), array("i", bytes(4 * len(data) + 4)), self._apart
+        done = 0
+        for at, (token, length) in self.v.automaton.iter(data.decode("latin-1")):
+            end = at + 1
+            if end == done:
+                continue
+            if end != done + 1:
+                raise ValueError(f"no token of the vocabulary ends at byte {done + 1}")
+            start = end - length
+            if start == 0:
+                if not self.whole(token):
+                    continue
+            else:
+                fits = apart.get(last[start] << 20 | token)
+                if fits is None:
+                    fits = self.apart(last[start], token)
+                if not fits:
+                    continue
+            counts[end], last[end], done = counts[start] + 1, token, end
+        if done != len(data):
+            raise ValueError(f"no token of the vocabulary ends at byte {done + 1}")
+        return counts
+
     def counts(self, data: bytes, ends: range | list[int]) -> list[int]:
         """Token counts of the prefixes that stop at ``ends`` (ascending)."""
+        if len(data) > DEEP:  # from the front, so that no call waits for many others
+            known = self._from_front(data)
+            return [known[end] for end in ends]
         last: dict[int, int] = {}
         counts = {0: 0}
-        if len(data) > DEEP:  # from the front, so that no call waits for many others
-            for end in range(1, len(data)):
-                self._state(data, end, last, counts)
         for end in ends:
             if end not in counts:
                 self._state(data, end, last, counts)
@@ -258,18 +292,20 @@ class TokenCounter:
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of the first 0, 1, ... ``len(text)`` characters, each as the library counts that
         prefix as a text of its own."""
-        out, base, done = [np.zeros(1, np.int64)], 0, 0
+        out, base, tail, settled = [np.zeros(1, np.int64)], 0, "", 0
         for part in self.v.cut.split(text) if self.v.cut else [text]:
             if part in self.v.special:
                 # A cut inside the special string leaves ordinary characters, which join the
                 # pieces before them.
-                inner = [self._open(text, done + k) for k in range(1, len(part))]
                 base += 1
-                out.append(np.array([*inner, base], np.int64))
+                out.append(np.array([*self._open(tail, part, settled), base], np.int64))
+                tail, settled = "", base
             else:
-                counts, base = self._walk(split(part), base)
+                pieces, before = split(part), base
+                counts, base = self._walk(pieces, base)
                 out += counts
-            done += len(part)
+                tail = "".join(pieces[-3:])
+                settled = before + sum(map(self.piece, pieces[:-3]))
         return np.concatenate(out)
 
     def _walk(self, pieces: list[str], base: int, before: str = "") -> tuple[list[np.ndarray], int]:
@@ -285,15 +321,45 @@ class TokenCounter:
             before = p
         return out, base
 
-    def _open(self, text: str, end: int) -> int:
-        """Tokens of ``text[:end]`` where the end lies inside a special string."""
-        at = max((text.rfind(s, 0, end) + len(s) for s in self.v.special if text.rfind(s, 0, end) >= 0), default=0)
-        return self.count(text[:at]) + self._split_count(text[at:end])
+    def _open(self, tail: str, special: str, settled: int) -> list[int]:
+        """Counts where the end lies inside a special string: ``settled`` tokens, then the last
+        pieces before the string, which its first characters may change."""
+        return [settled + self._split_count(tail + special[:k]) for k in range(1, len(special))]
+
+    def _over_special(self, text: str, budget: int) -> int:
+        """``longest_prefix`` of a text with special strings, part by part.
+
+        What follows a whole special string leaves the count before it as it is, so the search
+        ends at the first one behind which the budget is exceeded.
+        """
+        base = best = at = 0
+        while at <= len(text):
+            found = self.v.cut.search(text, at)
+            part = text[at : found.start() if found else len(text)]
+            pieces = split(part)
+            counts = list(map(self.piece, pieces))
+            tail, settled = "".join(pieces[-3:]), base + sum(counts[:-3])
+            if base + sum(counts) <= budget:
+                best = at + len(part)
+            elif base <= budget:
+                best = max(best, at + self._plain_prefix(part, budget - base))
+            base += sum(counts)
+            if not found:
+                return best
+            base += 1
+            if base > budget:
+                inside = [k for k, n in enumerate(self._open(tail, found.group(), settled), 1) if n <= budget]
+                return found.start() + inside[-1] if inside else best
+            at = best = found.end()
+        return best
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens."""
         if any(s in text for s in self.v.special):
-            return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+            return self._over_special(text, budget)
+        return self._plain_prefix(text, budget)
+
+    def _plain_prefix(self, text: str, budget: int) -> int:
         # The counts after whole pieces grow, so only the pieces around the budget are opened.
         reach = 4 * budget + 64
         while True:
@@ -326,5 +392,17 @@ class IdEncoder:
         self.encoder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens=v.special)
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids as unsigned 32-bit numbers."""
+        """Ids as unsigned 32-bit numbers.
+
+        Long white space is cut out and encoded by itself, as the pattern would look through all
+        of it again and again: it is one piece, but for its last character where a word follows.
+        """
+        parts, done = [], 0
+        for m in BLANKS.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            parts += [self._ids(text[done : m.start()]), np.array(self.encoder._encode_single_piece(text[m.start() : end].encode()), np.uint32)]
+            done = end
+        return self._ids(text) if not parts else np.concatenate([*parts, self._ids(text[done:])])
+
+    def _ids(self, text: str) -> np.ndarray:
         return self.encoder.encode_to_numpy(text, allowed_special="all")
