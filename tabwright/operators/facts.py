@@ -6,7 +6,7 @@ follow work on a bounded amount of data on the driver while every row stays on S
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -15,7 +15,7 @@ from tabwright.functions.columns import (
 )
 from tabwright.functions.text import DIRTY_WORDS, looks_like_date, looks_like_float
 from tabwright.operators.dedup import duplicate_count
-from tabwright.operators.quantiles import exact_quantiles
+from tabwright.operators.quantiles import Watch, exact_quantiles, searched_type, started, starts
 from tabwright.operators.scale import iqr_fences
 
 # Columns measured in one aggregation. The scan of a batch reads only its columns.
@@ -38,12 +38,15 @@ class ColumnFacts:
     numeric_looks: int = 0
     date_looks: int = 0
     non_finite: int = 0
+    dirt: list[str] = field(default_factory=list)  # words that stand for "missing"
+    only: str | None = None  # the value of a text column that has just one
 
 
 @dataclass
 class TableFacts:
     rows: int
     columns: dict[str, ColumnFacts]
+    starts: dict[str, tuple] = field(default_factory=dict)  # of exact quantile searches
 
     def missing(self, name: str) -> int:
         return self.rows - self.columns[name].present
@@ -54,9 +57,12 @@ def percentage(part: int, whole: int, digits: int | None = None) -> float:
     return share if digits is None else round(share, digits)
 
 
-def _measures(name: str, t: T.DataType, i: int, detail: bool) -> list[Column]:
+def _measures(name: str, t: T.DataType, i: int, detail: bool, sketch: bool) -> list[Column]:
     c = col(name)
     out = [F.count(c).alias(f"n{i}")]
+    if sketch and is_numeric(t):
+        # Least and greatest value come with the sketch.
+        return out + ([F.avg(c.cast("double")).alias(f"mean{i}"), F.stddev_pop(c.cast("double")).alias(f"std{i}")] if detail else [])
     if is_numeric(t) or is_date(t) or isinstance(t, T.BooleanType):
         out.append((F.min(c) == F.max(c)).alias(f"one{i}"))
     else:
@@ -77,21 +83,33 @@ def _measures(name: str, t: T.DataType, i: int, detail: bool) -> list[Column]:
     return out
 
 
-def measure(df: DataFrame, detail: bool = True) -> TableFacts:
+def measure(df: DataFrame, detail: bool = True, sketch: bool = False) -> TableFacts:
     """Counts of all columns and whether they vary; with ``detail`` also moments, bounds and
-    text looks."""
+    text looks; with ``sketch`` what a search for quantiles of the numbers begins with.
+
+    Numbers with sketches and the other columns are two aggregations, as a sketch keeps what stands
+    beside it from running as generated code; each column is read by one of them. Text columns
+    that may hold a single value are read once more."""
     fields = list(df.schema)
     odd = {f.name: f"__odd{i}" for i, f in enumerate(fields) if is_float(f.dataType)}
     flags = [(F.isnan(col(c)) | col(c).isin(INFINITY, -INFINITY)).alias(flag) for c, flag in odd.items()]
     df = df.select(*[finite(f.name, f.dataType).alias(f.name) for f in fields], *flags)
-    rows, facts, unsure = None, {}, []
-    for start in range(0, max(len(fields), 1), BATCH):
-        part = fields[start : start + BATCH]
+    rows, facts, unsure, begun = None, {}, [], {}
+    groups = [[f for f in fields if is_numeric(f.dataType) == number] for number in (True, False)] if sketch else [fields]
+    parts = [g[i : i + BATCH] for g in groups for i in range(0, len(g), BATCH)]
+    for part in parts or [[]]:
         strange = [F.count_if(F.col(odd[f.name])).alias(f"odd{i}") for i, f in enumerate(part) if f.name in odd]
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, f in enumerate(part) for m in _measures(f.name, f.dataType, i, detail)], *strange).first()
+        numbers = {f"q{i}": f.name for i, f in enumerate(part) if sketch and is_numeric(f.dataType)}
+        kinds = {k: searched_type(dtype(df, c)) for k, c in numbers.items()}
+        sketched = [m for k, c in numbers.items() for m in starts(k, col(c).cast(kinds[k]), kinds[k])]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *[m for i, f in enumerate(part) for m in _measures(f.name, f.dataType, i, detail, sketch)], *strange, *sketched).first()
         rows = row["rows"] if rows is None else rows
         r = row.asDict()
+        begun.update({c: started(r, k, kinds[k]) for k, c in numbers.items()})
         for i, f in enumerate(part):
+            if f.name in begun:
+                n, _, low, high = begun[f.name]
+                r |= {f"one{i}": None if not n else low == high, f"min{i}": None if not n else float(low), f"max{i}": None if not n else float(high)}
             if r.get(f"hash{i}"):
                 unsure.append(f.name)
             facts[f.name] = ColumnFacts(
@@ -101,20 +119,21 @@ def measure(df: DataFrame, detail: bool = True) -> TableFacts:
             )
     if unsure:
         texts = {c: as_text(c, dtype(df, c)) for c in unsure}
-        same = df.agg(*[(F.min(x) == F.max(x)).alias(f"one{i}") for i, x in enumerate(texts.values())]).first()
+        same = df.agg(*[x for x in texts.values() for x in (F.min(x), F.max(x))]).first()
         for i, c in enumerate(unsure):
-            facts[c].single = same[i]
-    return TableFacts(rows, facts)
+            low, high = same[2 * i], same[2 * i + 1]
+            facts[c].single, facts[c].only = low == high, low if low == high else None
+    return TableFacts(rows, {f.name: facts[f.name] for f in fields}, begun)
 
 
-def dirty_samples(df: DataFrame, columns: list[str], n: int = 5) -> dict[str, list[str]]:
-    """The first texts of each column that stand for "missing" in a numeric column: six words
-    in different cases, so a bounded set."""
-    if not columns:
-        return {}
-    texts = {c: as_text(c, dtype(df, c)) for c in columns}
-    row = df.agg(*[F.sort_array(F.collect_set(F.when(F.lower(x).isin(DIRTY_WORDS), x))).alias(f"d{i}") for i, x in enumerate(texts.values())]).first()
-    return {c: row[i][:n] for i, c in enumerate(columns)}
+def find_dirt(df: DataFrame, table: TableFacts, columns: list[str]) -> None:
+    """Note the texts that stand for "missing" in a numeric column: six words in different cases,
+    so a bounded set."""
+    if columns:
+        texts = [as_text(c, dtype(df, c)) for c in columns]
+        row = df.agg(*[F.sort_array(F.collect_set(F.when(F.lower(x).isin(DIRTY_WORDS), x))) for x in texts]).first()
+        for c, words in zip(columns, row):
+            table.columns[c].dirt = words
 
 
 def bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
@@ -162,8 +181,20 @@ def duplicates(df: DataFrame) -> int:
     return duplicate_count(df).first()["duplicate_count"]
 
 
-def quartiles(df: DataFrame, columns: list[str]) -> dict[str, list[float | None]]:
-    return exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+def quartiles(df: DataFrame, table: TableFacts, columns: list[str], watch: Watch | None = None) -> dict[str, list[float | None]]:
+    """Exact quartiles, searched from the sketches of ``measure(..., sketch=True)``."""
+    return exact_quantiles(df, columns, [0.25, 0.5, 0.75], table.starts, watch)
+
+
+def quartiles_and_outliers(df: DataFrame, table: TableFacts, columns: list[str]) -> tuple[dict[str, list[float | None]], dict[str, int]]:
+    """Quartiles, and how many values lie outside the fences that follow from them. Two scans; a
+    third one counts the columns that could not be counted along."""
+    watch = Watch(iqr_fences)
+    quarts = quartiles(df, table, columns, watch)
+    ends = fences(quarts)
+    counts = {c: watch.count(c, b) for c, b in ends.items()}
+    apart = outlier_counts(df, {c: ends[c] for c, n in counts.items() if n is None})
+    return quarts, {c: apart[c] if n is None else n for c, n in counts.items()}
 
 
 def fences(quarts: dict[str, list[float | None]]) -> dict[str, tuple[float, float]]:

@@ -19,7 +19,16 @@ DUPLICATE_WEIGHT, DUPLICATE_CAP = 1.5, 25.0
 PENALTY = {"critical": 10.0, "warning": 4.0}
 # ---------------------------------------------------------------------------------------
 
-ISSUE_SCHEMA = "code string, severity string, column string, affected_rows bigint"
+SAMPLES = 5  # words shown of a mixed column
+ACTIONS = {
+    "DUPLICATE_ROWS": "keep one row of each group of copies",
+    "HIGH_MISSINGNESS": "fill the gaps, or leave the column out",
+    "OUTLIERS_DETECTED": "check the extreme values, then clip or remove them",
+    "CONSTANT_COLUMN": "drop the column: it tells rows apart in nothing",
+    "MIXED_DATA_TYPES": "cast the column to a number and let other texts become missing",
+}
+
+ISSUE_SCHEMA = "code string, severity string, column string, affected_rows bigint, sample_values string, suggested_action string"
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -47,8 +56,8 @@ def profile_table(df: DataFrame, table: TableFacts | None = None, copies: int |
 def profile_numeric(df: DataFrame, table: TableFacts | None = None, quarts: dict | None = None) -> DataFrame:
     """One row per numeric column; a column without values has no statistics and counts as constant."""
     names = numeric_columns(df)
-    table = table or fx.measure(df.select(*[col(c) for c in names]))
-    quarts = quarts or fx.quartiles(df, names)
+    table = table or fx.measure(df.select(*[col(c) for c in names]), sketch=True)
+    quarts = fx.quartiles(df, table, names) if quarts is None else quarts
     rows = []
     for c in names:
         f, (q25, median, q75) = table.columns[c], quarts[c]
@@ -74,9 +83,10 @@ def constant_numeric(df: DataFrame) -> DataFrame:
 def iqr_outliers(df: DataFrame, order_by=None) -> DataFrame:
     """Values outside the 1.5 IQR fences per numeric column, with the first five of them."""
     names = numeric_columns(df)
-    bounds = fx.fences(fx.quartiles(df, names))
-    counts, samples = fx.outlier_counts(df, bounds), fx.outlier_samples(df, bounds, order_by)
-    present = fx.measure(df.select(*[col(c) for c in names])).columns
+    table = fx.measure(df.select(*[col(c) for c in names]), detail=False, sketch=True)
+    quarts, counts = fx.quartiles_and_outliers(df, table, names)
+    bounds, present = fx.fences(quarts), table.columns
+    samples = fx.outlier_samples(df, bounds, order_by)
     rows = []
     for c in bounds:
         five = (samples[c] + [None] * 5)[:5]
@@ -180,8 +190,8 @@ def date_string_check(df: DataFrame) -> DataFrame:
 def mixed_type_check(df: DataFrame) -> DataFrame:
     """How many values of each text column look like numbers."""
     table = _text_facts(df)
-    dirty = fx.dirty_samples(df, list(table.columns))
-    rows = [(c, f.present, f.numeric_looks, is_mixed(f), table.rows - f.numeric_looks, "|".join(dirty[c])) for c, f in table.columns.items()]
+    fx.find_dirt(df, table, list(table.columns))
+    rows = [(c, f.present, f.numeric_looks, is_mixed(f), table.rows - f.numeric_looks, "|".join(f.dirt[:SAMPLES])) for c, f in table.columns.items()]
     return df.sparkSession.createDataFrame(rows, "column string, non_null_count bigint, numeric_looks bigint, is_mixed boolean, affected_rows bigint, dirty_samples string")
 
 
@@ -217,7 +227,6 @@ def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) ->
     return ranked.select("column", F.col("rank").cast("bigint").alias("rank"), "value", F.col("n").alias("count"), share.alias("percentage"))
 
 
-
 @dataclass
 class Measured:
     """Everything the quality rules look at."""
@@ -230,30 +239,37 @@ class Measured:
 
 
 def measure_all(df: DataFrame) -> Measured:
-    numbers = numeric_columns(df)
-    quarts = fx.quartiles(df, numbers)
-    return Measured(fx.measure(df), fx.duplicates(df), fx.outlier_counts(df, fx.fences(quarts)), quarts, {})
+    """Numbers are read three times, texts once, and once more if they may be constant or are
+    mixed; copies of rows are counted apart."""
+    table = fx.measure(df, sketch=True)
+    fx.find_dirt(df, table, [c for c, f in table.columns.items() if is_mixed(f)])
+    quarts, outliers = fx.quartiles_and_outliers(df, table, numeric_columns(df))
+    return Measured(table, fx.duplicates(df), outliers, quarts, {})
 
 
 def issue_rows(m: Measured) -> list[tuple]:
+    """``(code, severity, column, affected rows, sample values)``. Samples are the value of a
+    constant column, the words for "missing" among numbers, and of outliers the least and the
+    greatest value as far as they lie outside the fences."""
     t, out = m.table, []
     if m.copies:
         share = percentage(m.copies, t.rows, 2)
-        out.append(("DUPLICATE_ROWS", "warning" if share < DUPLICATE_CRITICAL else "critical", None, m.copies))
+        out.append(("DUPLICATE_ROWS", "warning" if share < DUPLICATE_CRITICAL else "critical", None, m.copies, []))
+    ends = fx.fences(m.quarts)
     for c, f in t.columns.items():
         share = percentage(t.missing(c), t.rows, 2)
         if share > MISSING_WARNING:
-            out.append(("HIGH_MISSINGNESS", "critical" if share > MISSING_CRITICAL else "warning", c, t.missing(c)))
+            out.append(("HIGH_MISSINGNESS", "critical" if share > MISSING_CRITICAL else "warning", c, t.missing(c), []))
         if m.outliers.get(c):
-            out.append(("OUTLIERS_DETECTED", "warning", c, m.outliers[c]))
+            out.append(("OUTLIERS_DETECTED", "warning", c, m.outliers[c], [f"{v:.2f}" for v in (f.low, f.high) if v < ends[c][0] or v > ends[c][1]]))
         if c in m.quarts:
-            constant = f.present > 0 and f.single
+            constant, value = f.present > 0 and f.single, None if f.low is None else f"{f.low:.2f}"
         else:
-            constant = f.first_text is None and f.present > 0 and f.single and t.missing(c) == 0
+            constant, value = f.first_text is None and f.present > 0 and f.single and t.missing(c) == 0, f.only
         if constant:
-            out.append(("CONSTANT_COLUMN", "warning", c, t.rows))
+            out.append(("CONSTANT_COLUMN", "warning", c, t.rows, [] if value is None else [value]))
         if is_mixed(f):
-            out.append(("MIXED_DATA_TYPES", "critical", c, t.rows - f.numeric_looks))
+            out.append(("MIXED_DATA_TYPES", "critical", c, t.rows - f.numeric_looks, f.dirt[:SAMPLES]))
     return out
 
 
@@ -267,8 +283,10 @@ def score(m: Measured) -> float:
 
 
 def quality_issues(df: DataFrame, m: Measured | None = None) -> DataFrame:
-    """``(code, severity, column, affected_rows)``."""
-    return df.sparkSession.createDataFrame(issue_rows(m or measure_all(df)), ISSUE_SCHEMA)
+    """``(code, severity, column, affected_rows, sample_values, suggested_action)``; samples are
+    joined by a bar."""
+    rows = [(*r[:4], "|".join(r[4]), ACTIONS[r[0]]) for r in issue_rows(m or measure_all(df))]
+    return df.sparkSession.createDataFrame(rows, ISSUE_SCHEMA)
 
 
 def health_score(df: DataFrame, m: Measured | None = None) -> DataFrame:

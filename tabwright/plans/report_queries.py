@@ -111,7 +111,15 @@ ISSUES = (
     + " UNION ALL " + union(WORN_TEXTS, "SELECT 'CONSTANT_COLUMN', 'warning', '{c}', n FROM (SELECT count(*) AS n, count({c}) AS k, count(DISTINCT {c}) AS d FROM worn_orders) WHERE d = 1 AND k = n")
     + " UNION ALL " + union(WORN_TEXTS, f"SELECT 'MIXED_DATA_TYPES', 'critical', '{{c}}', k FROM (SELECT {MIXED} AS mixed, count(*) - {NUMERIC_LOOKS} AS k FROM worn_orders) WHERE mixed")
 )
-add("quality_issues", report("worn_orders", pf.quality_issues), ISSUES)
+# Samples per issue: the fences, constants and words as the rules above find them.
+_extremes = union(WORN_NUMBERS, "SELECT 'OUTLIERS_DETECTED' AS code, '{c}' AS \"column\", concat_ws('|', CASE WHEN min(v) < min(lo) OR min(v) > min(hi) THEN printf('%.2f', CAST(min(v) AS DOUBLE)) END, "
+                  f"CASE WHEN max(v) < min(lo) OR max(v) > min(hi) THEN printf('%.2f', CAST(max(v) AS DOUBLE)) END) AS s FROM {_fenced_worn}")
+_single = union(WORN_NUMBERS, "SELECT 'CONSTANT_COLUMN', '{c}', printf('%.2f', CAST(min({c}) AS DOUBLE)) FROM worn_orders") + " UNION ALL " + union(WORN_TEXTS, "SELECT 'CONSTANT_COLUMN', '{c}', min({c}) FROM worn_orders")
+_dirt = union(WORN_TEXTS, f"SELECT 'MIXED_DATA_TYPES', '{{c}}', coalesce((SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {{c}} AS v FROM worn_orders WHERE lower({{c}}) IN ({words(DIRTY_WORDS)}) ORDER BY v LIMIT 5)), '')")
+_actions = ", ".join(f"('{code}', '{text}')" for code, text in pf.ACTIONS.items())
+add("quality_issues", report("worn_orders", pf.quality_issues),
+    f"WITH i AS ({ISSUES}), s AS ({_extremes} UNION ALL {_single} UNION ALL {_dirt}), a(code, suggested_action) AS (VALUES {_actions}) "
+    "SELECT i.*, coalesce(s.s, '') AS sample_values, a.suggested_action FROM i LEFT JOIN s ON s.code = i.code AND s.\"column\" = i.\"column\" JOIN a ON a.code = i.code")
 add("health_score", report("worn_orders", pf.health_score),
     f"WITH i AS ({ISSUES}), p AS (SELECT count(CASE WHEN severity = 'critical' THEN 1 END) AS c, count(CASE WHEN severity = 'warning' THEN 1 END) AS w FROM i), "
     f"m AS (SELECT round(CAST({' + '.join(f'count(*) - count({c})' for c in WORN)} AS DOUBLE) / (count(*) * {len(WORN)}) * 100, 2) AS holes FROM worn_orders), "

@@ -141,3 +141,43 @@ def test_spearman(spark, monkeypatch, ranges):
     expected = df.toPandas().corr(method="spearman").loc["x", "y"]
     assert spearman(df, [("x", "y")])[("x", "y")] == pytest.approx(expected, rel=1e-9)
     assert spearman(df.withColumn("y", F.lit(1.0)), [("x", "y")]) == {("x", "y"): None}
+
+
+def test_scans_of_the_measuring_pass(spark):
+    """Numbers are read three times, whatever their number; outliers are counted along."""
+    from tabwright.operators import facts, profile
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def passes(_):
+        seen.add(1)
+        return True
+
+    n = 60_000
+    df = spark.range(n, numPartitions=4).select(
+        F.col("id").alias("a"), (F.hash("id") % 1000).cast("double").alias("b"), (F.col("id") % 3).alias("c"), F.lit(7).alias("d"),
+        F.when(F.col("id") % 1000 == 0, F.col("id") * 50).otherwise(F.hash("id") % 77).alias("e"),
+    ).filter(passes("a"))
+    table = facts.measure(df, sketch=True)
+    quarts, outliers = facts.quartiles_and_outliers(df, table, df.columns)
+    assert seen.value <= 3 * n
+    rows = np.array([tuple(r) for r in df.collect()], float)
+    for i, c in enumerate(df.columns):
+        want = np.quantile(rows[:, i], [0.25, 0.5, 0.75])
+        assert quarts[c] == want.tolist()
+        low, high = want[0] - 1.5 * (want[2] - want[0]), want[2] + 1.5 * (want[2] - want[0])
+        assert outliers[c] == ((rows[:, i] < low) | (rows[:, i] > high)).sum()
+    seen.value = 0
+    profile.profile_numeric(df).collect()
+    assert seen.value <= 3 * n
+
+
+@pytest.mark.parametrize("limit", [50, 20_000])
+def test_a_value_that_a_third_of_the_rows_hold(spark, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "COLLECT_LIMIT", limit)
+    rng = np.random.default_rng(1)
+    for values in (np.concatenate([np.zeros(4000), rng.normal(size=8000)]), np.concatenate([np.full(6001, 5.0), rng.integers(0, 9, 6000)]), rng.exponential(size=9000) ** 3):
+        df = numbers(spark, values.tolist())
+        got = quantiles.exact_quantiles(df, ["x"], [0.0, 0.25, 1 / 3, 0.5, 0.75, 1.0])["x"]
+        assert got == pytest.approx(np.quantile(values, [0.0, 0.25, 1 / 3, 0.5, 0.75, 1.0]))
