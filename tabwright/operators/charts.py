@@ -17,15 +17,16 @@ from tabwright.functions.columns import (
     numeric_columns, order_keys, require_columns, role,
 )
 from tabwright.operators import facts as fx
+from tabwright.operators.grouped_quantiles import grouped_quantiles
 from tabwright.operators.profile import histogram, null_counts
-from tabwright.operators.quantiles import numeric_expr, quantiles_of
+from tabwright.operators.quantiles import numeric_expr, quantiles_of, values_at_ranks
 from tabwright.operators.scale import iqr_fences
 from tabwright.session import scratch_dir
 
 # --- fixed values ------------------------------------------------------------------
 SEED = 42
 KDE_POINTS = 80
-BAR_VALUES, BOX_GROUPS, BOX_OUTLIERS, LINE_POINTS, HEATMAP_ROWS, HEATMAP_COLUMNS = 30, 30, 100, 2000, 200, 6
+BAR_VALUES, BOX_OUTLIERS, LINE_BINS, HEATMAP_ROWS = 30, 100, 2000, 200
 BINS_MIN, BINS_MAX, BINS_DEFAULT = 5, 100, 20
 SAMPLE_MIN, SAMPLE_MAX, SAMPLE_DEFAULT = 100, 20_000, 5_000
 CHART_TYPES = [
@@ -34,6 +35,12 @@ CHART_TYPES = [
 ]
 # -----------------------------------------------------------------------------------
 
+REASONS = {
+    "histogram": "how the numbers are spread", "kde": "a smooth view of the same numbers", "box": "quartiles and values far from them",
+    "bar": "which categories are frequent", "scatter": "how two numbers go together", "correlation_heatmap": "all pairs of numbers at a glance",
+    "grouped_box": "how a number differs between categories", "missing_bar": "where values are missing", "missing_heatmap": "which rows miss them together",
+}
+
 # Rows of one rank range; more rows make more ranges.
 RANGE_ROWS = 2_000_000
 MAX_RANGES = 50_000
@@ -65,12 +72,23 @@ def _double(df: DataFrame, column: str) -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, key: str | Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
-    """The ``n`` rows with the smallest seeded hash of the key; a top-k, not a full sort."""
+    """The ``n`` rows with the smallest seeded hash of the key.
+
+    The n-th smallest hash is found by exact selection on its first 60 bits, so only ``n`` rows
+    and those that share that hash are sorted, however many tasks there are. Missing keys hash
+    as empty.
+    """
     names = as_list(key) or df.columns
     require_columns(df, names)
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_text(c, dtype(df, c)) for c in names]))
-    rest = [col(c) for c in order_keys(df, names)]
-    return df.orderBy(digest, *rest).limit(n)
+    digest = _digest(df, names, seed)
+    leading = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    size, found = values_at_ranks(df, {"h": leading}, lambda rows: [min(n, rows) - 1])["h"]
+    few = df if size <= n else df.filter(leading <= F.lit(found[n - 1].value))
+    return few.orderBy(digest, *[col(c) for c in order_keys(df, names)]).limit(n)
+
+
+def _digest(df: DataFrame, names: list[str], seed: int = SEED) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_text(c, dtype(df, c)) for c in names]))
 
 
 def distribution_stats(df: DataFrame, column: str) -> DataFrame:
@@ -178,20 +196,24 @@ def box_outliers(df: DataFrame, column: str, order_by=None, n: int = BOX_OUTLIER
 def chart_grouped_box(df: DataFrame, column: str, group: str, groups: int | None = None) -> DataFrame:
     """Box statistics per category, of all categories or of the first ``groups`` by name.
 
-    Each category is a conditional column of one exact quantile search, so a category with a
-    third of the rows is never gathered in one task.
+    The category is a key of one exact quantile search, so the number of jobs does not depend on
+    the number of categories, nothing per category comes to the driver, and a category with a
+    third of the rows is never gathered in one task. Rows without category or value are left out.
     """
     _numeric(df, column)
     _categorical(df, group)
-    label = as_text(group, dtype(df, group))
-    x = numeric_expr(df, column)
-    present = df.filter(x.isNotNull() & label.isNotNull())
-    named = present.groupBy(label.alias("g")).agg(F.count(F.lit(1)).alias("n")).orderBy("g")
-    names = [r["g"] for r in (named if groups is None else named.limit(groups)).collect()]
-    rows = []
-    for at in range(0, len(names), BOX_GROUPS):  # so many columns in one search
-        rows += _box_rows(present, {g: F.when(label == F.lit(g), x) for g in names[at : at + BOX_GROUPS]})
-    return df.sparkSession.createDataFrame(rows, f"`group` string, {BOX_SCHEMA}")
+    rows = df.select(as_text(group, dtype(df, group)).alias("g"), numeric_expr(df, column).cast("double").alias("x")).filter("g is not null and x is not null")
+    if groups is not None:
+        rows = rows.join(rows.select("g").distinct().orderBy("g").limit(groups), "g", "left_semi")
+    boxes = grouped_quantiles(rows, [0.25, 0.5, 0.75])
+    iqr = F.lit(1.5) * (F.col("q2") - F.col("q0"))
+    boxes = boxes.select("*", (F.col("q0") - iqr).alias("lower_fence"), (F.col("q2") + iqr).alias("upper_fence"))
+    outside = (F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence"))
+    counts = rows.join(boxes.select("g", "lower_fence", "upper_fence"), "g").groupBy("g").agg(F.count_if(outside).alias("outlier_count"))
+    return boxes.join(counts, "g").select(
+        F.col("g").alias("group"), F.col("n").alias("count"), F.col("least").alias("min"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"),
+        F.col("greatest").alias("max"), "lower_fence", "upper_fence", "outlier_count",
+    )
 
 
 def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -245,7 +267,7 @@ def _heatmap(df: DataFrame, chosen: list[str], values: dict[tuple[str, str], flo
 
 
 def chart_corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise Pearson correlation of up to six columns, one aggregation for all pairs."""
+    """Pairwise Pearson correlation of all given columns, one aggregation for all pairs."""
     chosen = _pairs(df, columns)
     pairs = list(itertools.combinations_with_replacement(chosen, 2))
     narrow = df.select(*[_double(df, c).alias(f"v{i}") for i, c in enumerate(chosen)])
@@ -339,7 +361,7 @@ def spearman(df: DataFrame, chosen: list[tuple[str, str]]) -> dict[tuple[str, st
 
 
 def chart_corr_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise Spearman correlation of up to six columns."""
+    """Pairwise Spearman correlation of all given columns."""
     chosen = _pairs(df, columns)
     values = spearman(df, list(itertools.combinations(chosen, 2)))
     x = {c: _double(df, c) for c in chosen}
@@ -348,11 +370,42 @@ def chart_corr_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     return _heatmap(df, chosen, values)
 
 
-def chart_line(df: DataFrame, x: str, y: str, n: int = LINE_POINTS) -> DataFrame:
-    """The first points by x."""
+def chart_line(df: DataFrame, x: str, y: str, bins: int = LINE_BINS) -> DataFrame:
+    """The whole line in up to ``bins`` equal stretches of x: one row per stretch that holds points.
+
+    ``(bin, x_first, x_last, count, y_first, y_last, y_min, y_max, y_mean)`` is what a line drawn
+    through all points needs at that width: where it enters and leaves a stretch and how far it
+    swings there. Of points with one x the least y is the first and the greatest the last. Rows
+    without x or y are no points; equal xs make one stretch. Two scans; each task sends one
+    row per stretch.
+    """
     require_columns(df, [x, y])
     if not (is_numeric(dtype(df, x)) or is_date(dtype(df, x))) or not is_numeric(dtype(df, y)):
-        raise ValueError("Line chart requires an ordered/date column and a numerical column")
+        raise ValueError(f"A line needs numbers or dates in {x!r} and numbers in {y!r}")
+    _in_range(bins, 1, SAMPLE_MAX, "bins")
+    points = _complete(df, [x, y]).select(col(x).alias("x"), col(y).cast("double").alias("y"))
+    kind = dtype(points, "x")
+    at = F.col("x").cast("double")
+    if is_date(kind):
+        at = (F.unix_date("x") if kind.typeName() == "date" else F.unix_micros(F.col("x").cast("timestamp"))).cast("double")
+    points = points.withColumn("at", at)
+    ends = points.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    low, width = ends["low"] or 0.0, ((ends["high"] or 0.0) - (ends["low"] or 0.0)) / bins
+    number = F.least(F.floor((F.col("at") - F.lit(low)) / F.lit(width)), F.lit(bins - 1).cast("bigint")) if width else F.lit(0).cast("bigint")
+    point = F.struct("x", "y")
+    drawn = points.groupBy(number.alias("bin")).agg(
+        F.min(point).alias("first"), F.max(point).alias("last"), F.count(F.lit(1)).alias("count"),
+        F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.avg("y").alias("y_mean"),
+    )
+    return drawn.select(
+        "bin", F.col("first.x").alias("x_first"), F.col("last.x").alias("x_last"), "count",
+        F.col("first.y").alias("y_first"), F.col("last.y").alias("y_last"), "y_min", "y_max", "y_mean",
+    )
+
+
+def line_points(df: DataFrame, x: str, y: str, n: int = LINE_BINS) -> DataFrame:
+    """The first ``n`` points by x: the start of a line, point by point."""
+    require_columns(df, [x, y])
     points = _complete(df, [x, y]).select(col(x).alias("x"), col(y).cast("double").alias("y"))
     return points.orderBy("x", "y").limit(n)
 
@@ -368,7 +421,7 @@ def chart_missing_heatmap(df: DataFrame, n: int = HEATMAP_ROWS, key=None) -> Dat
     names = df.columns
     flags = [F.struct(F.lit(c).alias("column"), col(c).isNull().alias("missing")) for c in names]
     sampled = sample_rows(df, n, key)
-    digest = F.md5(F.concat_ws("|", F.lit(str(SEED)), *[as_text(c, dtype(df, c)) for c in as_list(key) or names]))
+    digest = _digest(df, as_list(key) or names)
     # At most SAMPLE_MAX rows are numbered here.
     order = Window.orderBy(digest, *[col(c) for c in order_keys(df, key)])
     numbered = sampled.withColumn("__row", F.row_number().over(order) - F.lit(1))
@@ -384,7 +437,7 @@ def chart_metadata(df: DataFrame) -> DataFrame:
 
 
 def chart_recommendations(df: DataFrame) -> DataFrame:
-    """Charts that suit the column roles."""
+    """Charts that suit the column roles, each with the reason."""
     numbers, texts = numeric_columns(df), categorical_columns(df)
     table = fx.measure(df, detail=False)
     out: list[tuple[str, list[str]]] = []
@@ -393,13 +446,13 @@ def chart_recommendations(df: DataFrame) -> DataFrame:
     if texts:
         out.append(("bar", texts[:1]))
     if len(numbers) >= 2:
-        out += [("scatter", numbers[:2]), ("correlation_heatmap", numbers[:HEATMAP_COLUMNS])]
+        out += [("scatter", numbers[:2]), ("correlation_heatmap", numbers)]
     if numbers and texts:
         out.append(("grouped_box", [numbers[0], texts[0]]))
     if any(table.missing(c) for c in df.columns):
         out += [("missing_bar", []), ("missing_heatmap", [])]
-    rows = [(i, kind, ",".join(names)) for i, (kind, names) in enumerate(out, 1)]
-    return df.sparkSession.createDataFrame(rows, "rank bigint, chart_type string, columns string")
+    rows = [(i, kind, ",".join(names), REASONS[kind]) for i, (kind, names) in enumerate(out, 1)]
+    return df.sparkSession.createDataFrame(rows, "rank bigint, chart_type string, columns string, reason string")
 
 
 def generate_chart(
@@ -437,4 +490,4 @@ def generate_chart(
         return chart_line(df, chosen[0], chosen[1])
     if chart_type == "missing_bar":
         return chart_missing_bar(df)
-    return chart_missing_heatmap(df, min(sample_size, HEATMAP_ROWS), key)
+    return chart_missing_heatmap(df, sample_size, key)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabwright.functions.columns import as_text, categorical_columns, col, date_columns, dtype, normalize_non_finite, numeric_columns
 from tabwright.operators import facts as fx
 from tabwright.operators.facts import ColumnFacts, TableFacts, percentage
+from tabwright.session import scratch_dir
 
 # --- fixed values: thresholds of the quality rules -------------------------------------
 MISSING_WARNING, MISSING_CRITICAL = 30.0, 60.0
@@ -19,6 +20,7 @@ DUPLICATE_WEIGHT, DUPLICATE_CAP = 1.5, 25.0
 PENALTY = {"critical": 10.0, "warning": 4.0}
 # ---------------------------------------------------------------------------------------
 
+HEAD = 64  # characters of a text that are counted as they are
 SAMPLES = 5  # words shown of a mixed column
 ACTIONS = {
     "DUPLICATE_ROWS": "keep one row of each group of copies",
@@ -213,18 +215,34 @@ def profile_categorical(df: DataFrame, table: TableFacts | None = None, distinct
 
 
 def top_values(df: DataFrame, k: int = 10, columns: list[str] | None = None) -> DataFrame:
-    """The ``k`` most frequent values per categorical column with their share of all rows.
+    """The ``k`` most frequent values per categorical column with their share of all rows; of
+    equally frequent ones the greatest.
 
-    The rank filter is applied before the shuffle as well, so no task sees all distinct
-    values of a column.
+    A text of more than HEAD characters is counted by its first HEAD characters and its SHA-256,
+    so long texts are not shuffled. Only the texts of the winners, and of those that tie with the
+    last one in count and first characters, are read again. The rank filter is applied before
+    the shuffle as well, so no task sees all distinct values of a column.
     """
     df = normalize_non_finite(df)
     names = categorical_columns(df) if columns is None else columns
     rows = df.count()
+    values = fx.tall(df, names, lambda c: as_text(c, dtype(df, c))).filter(F.col("value").isNotNull())
+    keyed = values.select("column", F.substring("value", 1, HEAD).alias("head"), F.when(F.length("value") > HEAD, F.sha2("value", 256)).alias("digest"), "value")
+    counts = keyed.groupBy("column", "head", "digest").agg(F.count(F.lit(1)).alias("n"))
+    # A text that ends with its head is the least of those that begin with it.
+    place = F.rank().over(Window.partitionBy("column").orderBy(F.desc("n"), F.desc("head"), F.col("digest").isNull()))
+    path = scratch_dir(df.sparkSession, "frequent")
+    counts.withColumn("place", place).filter(F.col("place") <= k).drop("place").write.parquet(path)
+    winners = df.sparkSession.read.schema("column string, head string, digest string, n bigint").parquet(path)
+    found = winners.filter("digest is null").select("column", "head", "n", F.col("head").alias("value"))
+    long = winners.filter("digest is not null")
+    wanted = [r["column"] for r in long.select("column").distinct().collect()]
+    if wanted:
+        texts = keyed.filter(F.col("column").isin(wanted) & F.col("digest").isNotNull()).join(long, ["column", "head", "digest"])
+        found = found.unionByName(texts.groupBy("column", "head", "digest", "n").agg(F.max("value").alias("value")).drop("digest"))
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.desc("value")))
-    ranked = fx.value_counts(df, names).withColumn("rank", rank).filter(F.col("rank") <= k)
     share = F.col("n") / F.lit(float(rows or 1)) * F.lit(100.0)
-    return ranked.select("column", F.col("rank").cast("bigint").alias("rank"), "value", F.col("n").alias("count"), share.alias("percentage"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("column", F.col("rank").cast("bigint").alias("rank"), "value", F.col("n").alias("count"), share.alias("percentage"))
 
 
 @dataclass

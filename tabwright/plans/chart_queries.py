@@ -39,8 +39,12 @@ add("box_outliers", report("dirty_events", ch.box_outliers, "value", ["event_id"
     "WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) ORDER BY event_id LIMIT 100")
 add("chart_grouped_box", report("dirty_events", ch.chart_grouped_box, "value", "event_type"),
     _box("SELECT value, event_type AS g FROM dirty_events WHERE event_type IS NOT NULL", "value", 'g AS "group"'))
+add("chart_grouped_box_many", report("lineitem", lambda df: ch.chart_grouped_box(df.selectExpr("l_quantity", "CAST(l_orderkey % 10000 AS STRING) AS g"), "l_quantity", "g")),
+    _box("SELECT l_quantity, CAST(l_orderkey % 10000 AS VARCHAR) AS g FROM lineitem", "l_quantity", 'g AS "group"'))
 add("chart_scatter", report("dirty_events", ch.chart_scatter, "user_id", "value", 1000, "event_id"),
     "SELECT CAST(user_id AS DOUBLE) AS x, value AS y FROM dirty_events WHERE value IS NOT NULL ORDER BY md5(concat_ws('|', '42', event_id)), event_id LIMIT 1000")
+add("scatter_sample_large", report("lineitem", ch.chart_scatter, "l_quantity", "l_extendedprice", 5000, ["l_orderkey", "l_linenumber"]),
+    "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber)) LIMIT 5000")
 add("scatter_correlation", report("dirty_events", ch.pearson, "user_id", "value"), "SELECT corr(user_id, value) AS correlation FROM dirty_events WHERE value IS NOT NULL")
 
 PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -61,8 +65,17 @@ add("chart_corr_spearman", report("dirty_events", ch.chart_corr_spearman, MIXED_
 add("chart_pair_plot", report("dirty_events", ch.chart_pair_plot, ["user_id", "value", "event_id"], 1000, "event_id"),
     "SELECT CAST(user_id AS DOUBLE) AS user_id, value, CAST(event_id AS DOUBLE) AS event_id FROM dirty_events WHERE value IS NOT NULL "
     "ORDER BY md5(concat_ws('|', '42', dirty_events.event_id)) LIMIT 1000")
-add("chart_line", report("dirty_events", ch.chart_line, "ts", "value"),
+add("chart_line_points", report("dirty_events", ch.line_points, "ts", "value"),
     "SELECT ts AS x, value AS y FROM dirty_events WHERE value IS NOT NULL ORDER BY x, y LIMIT 2000")
+_line = (
+    "WITH p AS (SELECT {x} AS x, CAST({y} AS DOUBLE) AS y, {at} AS pos FROM {view} WHERE {x} IS NOT NULL AND {y} IS NOT NULL), "
+    "s AS (SELECT min(pos) AS lo, (max(pos) - min(pos)) / {bins} AS w FROM p), "
+    "b AS (SELECT CAST(least(floor((pos - lo) / w), {bins} - 1) AS BIGINT) AS bin, x, y FROM p, s) "
+    "SELECT bin, min(x) AS x_first, max(x) AS x_last, count(*) AS count, (list(y ORDER BY x, y))[1] AS y_first, (list(y ORDER BY x DESC, y DESC))[1] AS y_last, "
+    "min(y) AS y_min, max(y) AS y_max, avg(y) AS y_mean FROM b GROUP BY bin"
+)
+add("chart_line", report("dirty_events", ch.chart_line, "ts", "value"), _line.format(x="ts", y="value", at="CAST(epoch_us(ts) AS DOUBLE)", view="dirty_events", bins=2000))
+add("chart_line_numbers", report("part", ch.chart_line, "p_size", "p_retailprice", 20), _line.format(x="p_size", y="p_retailprice", at="CAST(p_size AS DOUBLE)", view="part", bins=20))
 add("chart_missing_bar", report("dirty_events", ch.chart_missing_bar),
     union(EVENTS, "SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, " + MISSING_SHARE + " AS percentage FROM dirty_events"))
 _rows = "(SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', event_id))) - 1 AS i FROM dirty_events)"
@@ -71,9 +84,11 @@ add("chart_missing_heatmap", report("dirty_events", ch.chart_missing_heatmap, 20
 _roles = {"event_id": "numeric", "ts": "date", "user_id": "numeric", "event_type": "categorical", "value": "numeric", "amount_text": "categorical", "flag_text": "categorical", "constant_text": "categorical"}
 add("chart_metadata", report("dirty_events", ch.chart_metadata), " UNION ALL ".join(
     f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS \"column\", '{r}' AS role, count(*) - count({c}) AS missing_count FROM dirty_events" for i, (c, r) in enumerate(_roles.items())))
+_reasons = ", ".join(f"('{kind}', '{reason}')" for kind, reason in ch.REASONS.items())
 add("chart_recommendations", report("dirty_events", ch.chart_recommendations),
-    "SELECT CAST(r AS BIGINT) AS rank, k AS chart_type, c AS columns FROM (VALUES (1, 'histogram', 'event_id'), (2, 'kde', 'event_id'), (3, 'box', 'event_id'), (4, 'bar', 'event_type'), "
+    "SELECT CAST(r AS BIGINT) AS rank, k AS chart_type, c AS columns, reason FROM (VALUES (1, 'histogram', 'event_id'), (2, 'kde', 'event_id'), (3, 'box', 'event_id'), (4, 'bar', 'event_type'), "
     "(5, 'scatter', 'event_id,user_id'), (6, 'correlation_heatmap', 'event_id,user_id,value'), (7, 'grouped_box', 'event_id,event_type'), (8, 'missing_bar', ''), (9, 'missing_heatmap', '')) t(r, k, c) "
+    f"JOIN (VALUES {_reasons}) w(kind, reason) ON kind = k "
     "WHERE r < 8 OR (SELECT count(*) FROM dirty_events WHERE event_type IS NULL OR value IS NULL) > 0")
 add("distribution_stats", report("spiky_events", ch.distribution_stats, "value"),
     "SELECT count(value) AS count, avg(value) AS mean, quantile_cont(value, 0.5) AS median, min(value) AS min, max(value) AS max FROM spiky_events WHERE NOT isnan(value) AND NOT isinf(value)")

@@ -85,9 +85,13 @@ add("profile_categorical", report("dirty_events", pf.profile_categorical), union
     "SELECT '{c}' AS \"column\", 'string' AS inferred_type, count(*) AS count, count(*) - count({c}) AS missing_count, " + MISSING_SHARE + " AS missing_percentage, "
     "count(DISTINCT {c}) AS unique_count, CAST(count(DISTINCT {c}) AS DOUBLE) / count(*) AS cardinality_ratio, "
     "count(DISTINCT {c}) = 1 AND count(*) = count({c}) AS is_constant FROM dirty_events")))
-add("top_values", report("dirty_events", pf.top_values), union(EVENT_TEXTS, (
+_top = (
     "SELECT * FROM (SELECT '{c}' AS \"column\", row_number() OVER (ORDER BY count(*) DESC, {c} DESC) AS rank, {c} AS value, count(*) AS count, "
-    "CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM dirty_events) * 100 AS percentage FROM dirty_events WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 10")))
+    "CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM VIEW) * 100 AS percentage FROM VIEW WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 10"
+)
+add("top_values", report("dirty_events", pf.top_values), union(EVENT_TEXTS, _top.replace("VIEW", "dirty_events")))
+add("top_values_texts", report("documents", pf.top_values), union(["text", "lang", "source"], _top.replace("VIEW", "documents")))
+add("top_values_pages", report("pages", pf.top_values), union(["url", "html"], _top.replace("VIEW", "pages")))
 NUMERIC_LOOKS = "count(CASE WHEN regexp_matches(trim(replace(replace(replace({c}, '$', ''), ',', ''), '%', '')), '" + FLOAT_LITERAL.replace("{", "{{").replace("}", "}}") + "') THEN 1 END)"
 MIXED = f"(count({{c}}) > 0 AND CAST({NUMERIC_LOOKS} AS DOUBLE) / nullif(count({{c}}), 0) > 0.6 AND {NUMERIC_LOOKS} < count({{c}}))"
 add("mixed_type_check", report("worn_orders", pf.mixed_type_check), union(WORN_TEXTS, (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 from collections import Counter
@@ -12,7 +13,7 @@ import pytest
 from sample import STATION_CSV
 
 from tabwright import run_transform
-from tabwright.operators import charts, contract as ct, profile as pf, readiness as rd, validate as vd
+from tabwright.operators import charts, contract as ct, grouped_quantiles, profile as pf, readiness as rd, validate as vd
 from tabwright.operators.contract import ExpectedColumn
 
 
@@ -197,3 +198,52 @@ def test_grouped_box_has_all_groups(spark):
     got = charts.chart_grouped_box(table, "v", "g").collect()
     assert [r["group"] for r in got] == [f"g{i:02d}" for i in range(35)]
     assert charts.chart_grouped_box(table, "v", "g", 3).count() == 3
+
+
+@pytest.mark.parametrize("limit", [3, 20_000])
+def test_grouped_quantiles(spark, monkeypatch, limit):
+    monkeypatch.setattr(grouped_quantiles, "COLLECT_LIMIT", limit)
+    rng = np.random.default_rng(5)
+    groups = {
+        "hot": np.concatenate([np.full(900, 4.0), rng.normal(4, 2, 1800)]), "wide": np.exp(rng.normal(0, 9, 1500)), "few": rng.integers(0, 3, 700).astype(float),
+        "one": np.array([2.5]), "two": np.array([1.0, 2.0]), "same": np.full(50, -1.0),
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [(None, 1.0), ("none", None)]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    got = {r["g"]: r for r in grouped_quantiles.grouped_quantiles(table, [0.25, 0.5, 0.9]).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert (got[g]["n"], got[g]["least"], got[g]["greatest"]) == (len(values), values.min(), values.max())
+        assert [got[g][f"q{i}"] for i in range(3)] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.9]).tolist())
+
+
+def test_line_holds_all_points(spark):
+    rows = [(i % 977, float(i * 7 % 101)) for i in range(5000)] + [(None, 1.0), (3, None), (4, float("nan"))]
+    table = spark.createDataFrame(rows, "x int, y double")
+    got = charts.chart_line(table, "x", "y", 50).collect()
+    assert sum(r["count"] for r in got) == 5000 and len(got) == 50
+    first = min(got, key=lambda r: r.bin)
+    points = sorted(r for r in rows[:5000] if r[0] <= first.x_last)
+    assert (first.x_first, first.y_first, first.y_last) == (points[0][0], points[0][1], points[-1][1])
+    assert [r["count"] for r in charts.chart_line(table.filter("x = 5"), "x", "y").collect()] == [sum(r[0] == 5 for r in rows)]
+    assert charts.chart_line(table.limit(0), "x", "y").count() == 0
+
+
+def test_top_values_of_long_texts(spark):
+    head = "same start of a long text " * 4
+    texts = [head + "b"] * 3 + [head + "a"] * 3 + [head + "c"] * 3 + [head[:64]] * 3 + ["short"] * 5 + [head + "z"] + [None] * 4 + [""] * 3
+    table = spark.createDataFrame([(t, "u") for t in texts], "t string, head string")
+    got = [(r["value"], r["count"]) for r in pf.top_values(table, 4, ["t"]).orderBy("rank").collect()]
+    assert got == [("short", 5), (head + "c", 3), (head + "b", 3), (head + "a", 3)]
+    assert [r["value"] for r in pf.top_values(table, 7, ["t"]).orderBy("rank").collect()][4:] == [head[:64], "", head + "z"]
+    assert pf.top_values(table, 3).filter("column = 'head'").count() == 1 and pf.top_values(table.limit(0)).count() == 0
+
+
+def test_samples_by_threshold(spark):
+    table = spark.range(3000).selectExpr("id", "CAST(id % 2 AS DOUBLE) AS v", "IF(id % 3 = 0, 7, id) AS k")
+    for n in (100, 2999, 5000):
+        got = {r["id"] for r in charts.sample_rows(table, n, "id").collect()}
+        want = sorted(range(3000), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())[:n]
+        assert got == set(want)
+    assert charts.sample_rows(table, 500, "k").count() == 500  # a third of the rows share a key
+    assert charts.generate_chart(table, "missing_heatmap", sample_size=150).count() == 450
