@@ -29,7 +29,7 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     present = set(df.columns)
     missing = [n for n in names if n not in present]
     if missing:
-        raise ValueError(f"Columns not found in dataset: {missing}")
+        raise ValueError(f"the table has no columns {missing}")
 
 
 def dtype(df: DataFrame, name: str) -> T.DataType:

@@ -42,11 +42,11 @@ class CastType(Transform):
 
     def check(self, df: DataFrame) -> None:
         if not self.column or self.column not in df.columns:
-            raise ValueError(f"Column '{self.column}' is required and must exist.")
+            raise ValueError(f"cast_type needs a column of the table; {self.column!r} is none")
         if self.target not in TARGETS:
-            raise ValueError(f"Unsupported target type: {self.target_type}")
+            raise ValueError(f"Unsupported target type {self.target_type!r}; known are {', '.join(TARGETS)}")
         if self.invalid_strategy not in STRATEGIES:
-            raise ValueError(f"invalid_strategy must be one of: {', '.join(STRATEGIES)}.")
+            raise ValueError(f"invalid_strategy is {self.invalid_strategy!r}; known are {', '.join(STRATEGIES)}")
 
     def fit(self, df: DataFrame) -> Fitted:
         self.check(df)
@@ -61,7 +61,7 @@ class CastType(Transform):
         if self.invalid_strategy == "raise":
             bad = df.filter(col(self.column).isNotNull() & self.converted(t, fitted).isNull()).count()
             if bad:
-                raise ValueError(f"Column '{self.column}' contains {bad} values that cannot be converted to {self.target}.")
+                raise ValueError(f"{bad} values of {self.column!r} do not convert to {self.target}")
         return fitted
 
     def converted(self, t: T.DataType, fitted: Fitted) -> Column:
@@ -93,7 +93,7 @@ class CastType(Transform):
         if self.target == "boolean":
             parsed = v if isinstance(v, bool) else parse_boolean_word(v)
             if parsed is None:
-                raise ValueError("default_value must be a boolean, 0/1, or a recognized true/false string")
+                raise ValueError(f"default_value {self.default_value!r} stands for neither true nor false")
             return F.lit(parsed)
         if self.target == "date":
             return F.lit(dt.date.fromisoformat(str(v)))

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabwright.functions.columns import (
@@ -43,27 +45,25 @@ REASONS = {
 
 # Rows of one rank range; more rows make more ranges.
 RANGE_ROWS = 2_000_000
-MAX_RANGES = 50_000
-# A value with more than this share of the rows is hot.
+# A value with more than this share of a pair's rows is hot; it is cut into parts of that share.
 HOT_SHARE = 0.001
-HOT_SALTS = 32
 
 
 def _numeric(df: DataFrame, column: str) -> None:
     require_columns(df, [column])
     if not is_numeric(dtype(df, column)):
-        raise ValueError("This chart requires one numerical column")
+        raise ValueError(f"{column!r} holds no numbers, which this chart draws")
 
 
 def _categorical(df: DataFrame, column: str) -> None:
     require_columns(df, [column])
     if role(dtype(df, column)) != "categorical":
-        raise ValueError("This chart requires one categorical column")
+        raise ValueError(f"{column!r} holds no categories, which this chart counts")
 
 
 def _in_range(value: int, low: int, high: int, name: str) -> int:
     if not low <= value <= high:
-        raise ValueError(f"{name} must be between {low} and {high}.")
+        raise ValueError(f"{name} is {value}; it may lie from {low} to {high}")
     return value
 
 
@@ -116,24 +116,32 @@ def chart_histogram(df: DataFrame, column: str, bins: int = BINS_DEFAULT) -> Dat
 def chart_kde(df: DataFrame, column: str) -> DataFrame:
     """Gaussian kernel density at 80 points between minimum and maximum.
 
-    Each value adds to all points in one aggregation; a task shuffles 80 partial sums. Eighty
-    sums side by side, without the explode, take three times as long: they are too many for
-    generated code.
+    A task adds the values of each batch to all points at once, in one vector of 80 sums; only
+    these vectors leave it.
     """
     _numeric(df, column)
-    schema = "x double, density double"
     x = _double(df, column)
     r = df.agg(F.count(x).alias("n"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high")).first()
     if r["n"] < 2 or r["low"] == r["high"]:
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], "x double, density double")
     n, low, step = r["n"], r["low"], (r["high"] - r["low"]) / (KDE_POINTS - 1)
     width = max(1.06 * r["std"] * n ** (-1 / 5), 1e-9)
-    grid = F.expr(f"array({','.join(f'{low + i * step!r}D' for i in range(KDE_POINTS - 1))},{r['high']!r}D)")
-    values = df.select(x.alias("v")).filter(F.col("v").isNotNull())
-    points = values.select("v", F.explode(grid).alias("x"))
-    u = (F.col("x") - F.col("v")) / F.lit(width)
-    scale = F.lit(n * width * math.sqrt(2 * math.pi))
-    return points.groupBy("x").agg((F.sum(F.exp(F.lit(-0.5) * u * u)) / scale).alias("density"))
+    grid = np.array([low + i * step for i in range(KDE_POINTS - 1)] + [r["high"]])
+    names = [f"s{i}" for i in range(KDE_POINTS)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(KDE_POINTS)
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(values), 1024):  # small enough for a processor's cache
+                u = (grid[:, None] - values[None, at : at + 1024]) / width
+                total += np.exp(-0.5 * u * u).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names)
+
+    tasks = df.select(x.alias("v")).filter("v is not null").mapInArrow(sums, ", ".join(f"{c} double" for c in names))
+    both = tasks.agg(*[F.sum(c) for c in names]).first()
+    scale = n * width * math.sqrt(2 * math.pi)
+    return df.sparkSession.createDataFrame([(float(g), v / scale) for g, v in zip(grid, both)], "x double, density double")
 
 
 chart_violin = chart_kde
@@ -237,7 +245,7 @@ def chart_pair_plot(df: DataFrame, columns: list[str], sample_size: int = SAMPLE
     require_columns(df, columns)
     chosen = [c for c in columns if is_numeric(dtype(df, c))]
     if len(chosen) < 2:
-        raise ValueError("Pair plot requires at least two numerical columns")
+        raise ValueError(f"a pair plot takes two columns of numbers or more; {columns} hold {len(chosen)}")
     _in_range(sample_size, SAMPLE_MIN, SAMPLE_MAX, "sample_size")
     return sample_rows(_complete(df, chosen), sample_size, key).select(*[col(c).cast("double").alias(c) for c in chosen])
 
@@ -246,7 +254,7 @@ def _pairs(df: DataFrame, columns: list[str]) -> list[str]:
     require_columns(df, columns)
     chosen = [c for c in columns if is_numeric(dtype(df, c))]
     if len(chosen) < 2:
-        raise ValueError("Correlation heatmap requires at least two numerical columns")
+        raise ValueError(f"a correlation takes two columns of numbers or more; {columns} hold {len(chosen)}")
     return chosen
 
 
@@ -299,41 +307,41 @@ def _average_ranks(counts: DataFrame) -> DataFrame:
     return counts.withColumn("rank", average.cast("double")).select("p", "side", "value", "rank")
 
 
-def _ranged_counts(counts: DataFrame, rows: int) -> tuple[DataFrame, list[tuple]]:
-    """The counts cut into sorted ranges of bounded size, and the hot values.
+def _ranged_counts(counts: DataFrame, rows: int, range_rows: int) -> DataFrame:
+    """The counts cut into sorted ranges of about ``range_rows`` rows, each with the rows before it.
 
     Spark's range partitioning draws the cuts. They differ from job to job, so the ranges are
     written once to the shared scratch folder and read from there.
     """
-    spark = counts.sparkSession
-    ranges = min(MAX_RANGES, -(-rows // RANGE_ROWS))
-    path = scratch_dir(spark, "ranks")
-    cut = counts.repartitionByRange(ranges, "p", "side", "value").withColumn("range", F.spark_partition_id())
+    path = scratch_dir(counts.sparkSession, "ranks")
+    cut = counts.repartitionByRange(max(1, -(-rows // range_rows)), "p", "side", "value").withColumn("range", F.spark_partition_id())
     cut.write.parquet(path)
-    stored = spark.read.parquet(path)
+    stored = counts.sparkSession.read.schema(cut.schema).parquet(path)
     # One row per range and side.
     sizes = stored.groupBy("p", "side", "range").agg(F.sum("n").alias("size"))
     before = F.sum("size").over(Window.partitionBy("p", "side").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("p", "side", "range", F.coalesce(before, F.lit(0)).alias("passed"))
-    hot = stored.filter(F.col("n") > F.lit(max(rows * HOT_SHARE, 1))).select("p", "side", "value").collect()
-    return stored.join(F.broadcast(offsets), ["p", "side", "range"]), [tuple(r) for r in hot]
+    return stored.join(sizes.select("p", "side", "range", F.coalesce(before, F.lit(0)).alias("passed")), ["p", "side", "range"])
 
 
-def _with_rank(pairs: DataFrame, ranks: DataFrame, side: int, hot: list[tuple]) -> DataFrame:
-    """Attach the average rank of one side. Rows of a hot value are salted by the other side."""
+def _with_rank(pairs: DataFrame, ranks: DataFrame, hot: DataFrame, side: int) -> DataFrame:
+    """Attach the average rank of one side. Rows of a hot value are salted by the other side, into
+    as many parts as the value has shares of its pair."""
     name, other, rank = ("a", "b", "ra") if side == 0 else ("b", "a", "rb")
     mine = ranks.filter(F.col("side") == side).select("p", F.col("value").alias(name), F.col("rank").alias(rank))
-    values = sorted({v for _, s, v in hot if s == side})
-    if not values:
-        return pairs.join(mine, ["p", name])
-    is_hot = F.col(name).isin(values)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(other), F.lit(HOT_SALTS))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return pairs.withColumn("salt", salt).join(mine.withColumn("salt", F.explode(copies)), ["p", name, "salt"]).drop("salt")
+    parts = F.broadcast(hot.filter(F.col("side") == side).select("p", F.col("value").alias(name), "parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0))
+    left = pairs.join(parts, ["p", name], "left").withColumn("salt", salt).drop("parts")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)).cast("bigint") - F.lit(1))
+    right = mine.join(parts, ["p", name], "left").withColumn("salt", F.explode(copies)).drop("parts")
+    return left.join(right, ["p", name, "salt"]).drop("salt")
 
 
-def spearman(df: DataFrame, chosen: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """Correlation of average ranks over the complete rows of each pair of columns."""
+def spearman(df: DataFrame, chosen: list[tuple[str, str]], range_rows: int = RANGE_ROWS) -> dict[tuple[str, str], float | None]:
+    """Correlation of average ranks over the complete rows of each pair of columns.
+
+    Equal pairs are counted first; distinct values are ranked in ranges of about ``range_rows``
+    rows. The one broadcast holds the hot values, at most 1 / HOT_SHARE per side of a pair.
+    """
     names = list(dict.fromkeys(c for pair in chosen for c in pair))
     narrow = df.select(*[_double(df, c).alias(f"v{i}") for i, c in enumerate(names)])
     each = [F.struct(F.lit(i).alias("p"), F.col(f"v{names.index(x)}").alias("a"), F.col(f"v{names.index(y)}").alias("b")) for i, (x, y) in enumerate(chosen)]
@@ -344,13 +352,12 @@ def spearman(df: DataFrame, chosen: list[tuple[str, str]]) -> dict[tuple[str, st
         return dict.fromkeys(chosen)
     # Equal pairs travel as one row from here on.
     pairs = complete.filter(F.col("p").isin(list(sizes))).groupBy("p", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    largest, hot = max(sizes.values()), []
-    if largest > RANGE_ROWS:
-        counts, hot = _ranged_counts(_side_counts(pairs), 2 * sum(sizes.values()))
-    else:
-        counts = _side_counts(pairs).withColumns({"range": F.lit(0), "passed": F.lit(0)})
-    ranks = _average_ranks(counts)
-    ranked = _with_rank(_with_rank(pairs, ranks, 0, hot), ranks, 1, hot)
+    stored = _ranged_counts(_side_counts(pairs), 2 * sum(sizes.values()), range_rows)
+    total = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])[F.col("p")]
+    share = F.greatest(total * F.lit(HOT_SHARE), F.lit(1.0))
+    hot = stored.filter(F.col("n") > share).select("p", "side", "value", F.ceil(F.col("n") / share).alias("parts"))
+    ranks = _average_ranks(stored)
+    ranked = _with_rank(_with_rank(pairs, ranks, hot, 0), ranks, hot, 1)
     middle = F.lit(0.0)
     for p, n in sizes.items():
         middle = F.when(F.col("p") == p, F.lit((n + 1) / 2.0)).otherwise(middle)
@@ -360,10 +367,10 @@ def spearman(df: DataFrame, chosen: list[tuple[str, str]]) -> dict[tuple[str, st
     return {pair: found.get(i) for i, pair in enumerate(chosen)}
 
 
-def chart_corr_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+def chart_corr_spearman(df: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Pairwise Spearman correlation of all given columns."""
     chosen = _pairs(df, columns)
-    values = spearman(df, list(itertools.combinations(chosen, 2)))
+    values = spearman(df, list(itertools.combinations(chosen, 2)), range_rows)
     x = {c: _double(df, c) for c in chosen}
     r = df.agg(*[(F.min(x[c]) < F.max(x[c])).alias(f"v{i}") for i, c in enumerate(chosen)]).first()
     values.update({(c, c): 1.0 if r[f"v{i}"] else None for i, c in enumerate(chosen)})
@@ -462,12 +469,12 @@ def generate_chart(
 ) -> DataFrame:
     """A chart by name. Columns are taken in the order columns, x, y, group."""
     if chart_type not in CHART_TYPES:
-        raise ValueError(f"Unsupported chart type: {chart_type}")
+        raise ValueError(f"there is no chart {chart_type!r}; known are {', '.join(CHART_TYPES)}")
     chosen = [c for c in (*columns, x_column, y_column, group_column) if c]
     require_columns(df, chosen)
     needed = {"scatter": 2, "grouped_box": 2, "line": 2, "pair_plot": 2, "correlation_heatmap": 2, "missing_bar": 0, "missing_heatmap": 0}.get(chart_type, 1)
     if len(chosen) < needed:
-        raise ValueError(f"{chart_type} requires {needed} columns")
+        raise ValueError(f"{chart_type} takes {needed} columns; {len(chosen)} were given")
     if chart_type == "histogram":
         return chart_histogram(df, chosen[0], bins)
     if chart_type in ("kde", "violin"):
@@ -480,7 +487,7 @@ def generate_chart(
         return chart_scatter(df, chosen[0], chosen[1], sample_size, key)
     if chart_type == "correlation_heatmap":
         if correlation_method not in ("pearson", "spearman"):
-            raise ValueError("correlation_method must be one of: pearson, spearman.")
+            raise ValueError(f"correlation_method is {correlation_method!r}; known are pearson and spearman")
         return (chart_corr_pearson if correlation_method == "pearson" else chart_corr_spearman)(df, chosen)
     if chart_type == "pair_plot":
         return chart_pair_plot(df, chosen, sample_size, key)

@@ -21,7 +21,7 @@ class ParseDates(Transform):
     def fit(self, df: DataFrame) -> Fitted:
         names = as_list(self.columns)
         if not names:
-            raise ValueError("'columns' parameter is required.")
+            raise ValueError("parse_dates: no columns were given")
         require_columns(df, names)
         patterns = {}
         for c in names:

@@ -20,7 +20,7 @@ class RemoveDuplicates(Transform):
 
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         if self.keep not in ("first", "last"):
-            raise ValueError("keep must be one of: first, last.")
+            raise ValueError(f"keep is {self.keep!r}; known are first and last")
         names = as_list(self.subset)
         require_columns(df, names)
         loose = {f.name: comparable(f.name, f.dataType) for f in df.schema if isinstance(f.dataType, (T.MapType, T.VariantType))}
@@ -94,7 +94,7 @@ class SortRows(Transform):
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         names = as_list(self.columns)
         if not names:
-            raise ValueError("'columns' parameter is required for sort_rows.")
+            raise ValueError("sort_rows: no columns were given")
         require_columns(df, names)
         # Equal keys may come in any order. Two further keys let range partitioning cut
         # through a hot key: the row hash, and for copies of one row the input partition.
@@ -111,7 +111,7 @@ def head_sample(df: DataFrame, order_by: str | Sequence[str] | None = None, n: i
 def page_rows(df: DataFrame, page: int, page_size: int, order_by: str | Sequence[str] | None = None) -> DataFrame:
     """One page of the table in the order of ``order_by``."""
     if page < 1 or not 1 <= page_size <= 500:
-        raise ValueError("page must be at least 1 and page_size between 1 and 500.")
+        raise ValueError(f"page {page} of {page_size} rows: pages count from 1 and hold 1 to 500 rows")
     df = normalize_non_finite(df)
     return rows_from_rank(df, order_keys(df, order_by), (page - 1) * page_size, page_size)
 

@@ -41,10 +41,10 @@ def typed_literal(value: Any, t: T.DataType) -> Column:
         if is_date(t):
             return F.lit(dt.datetime.fromisoformat(str(value)).isoformat(sep=" ")).cast(t)
         if value is None:
-            raise ValueError("a value is required")
+            raise ValueError("there is no value to compare with")
         return F.lit(str(value))
     except (TypeError, ValueError) as err:
-        raise ValueError(f"Cannot compare a {t.simpleString()} column with {value!r}: {err}") from err
+        raise ValueError(f"{value!r} is not comparable with {t.simpleString()} values: {err}") from err
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ class FilterRows(Transform):
 
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         if not self.column:
-            raise ValueError("Column name is required for filter_rows.")
+            raise ValueError("filter_rows: no column was given")
         require_columns(df, [self.column])
         return normalize_non_finite(df.filter(self.predicate(dtype(df, self.column))))
 
@@ -76,7 +76,7 @@ class FilterRows(Transform):
             return (c > F.lit(-INFINITY)) & (c < F.lit(INFINITY)) if is_float(t) else c.isNotNull()
         if self.operator == "is_null":
             return finite(self.column, t).isNull()
-        raise ValueError(f"Unsupported filter operator: '{self.operator}'.")
+        raise ValueError(f"filter_rows knows no operator {self.operator!r}")
 
 
 @dataclass(frozen=True)

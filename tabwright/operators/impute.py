@@ -23,11 +23,11 @@ def typed_value(column: str, t: T.DataType, value: Any) -> Column:
         if isinstance(t, T.DecimalType):
             return F.lit(str(float(value))).cast(t)
     except (TypeError, ValueError) as err:
-        raise ValueError(f"Cannot fill column '{column}' of type {t.simpleString()} with value '{value}': {err}") from err
+        raise ValueError(f"{value!r} is no {t.simpleString()} value to fill {column!r} with: {err}") from err
     if isinstance(t, T.BooleanType):
         parsed = parse_boolean_word(value)
         if parsed is None:
-            raise ValueError(f"Cannot fill column '{column}' of type boolean with value '{value}'.")
+            raise ValueError(f"{value!r} is no boolean value to fill {column!r} with")
         return F.lit(parsed)
     return F.lit(str(value)).cast(t)
 
@@ -40,7 +40,7 @@ class FillConstant(Transform):
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         names = as_list(self.columns)
         if not names:
-            raise ValueError("'columns' parameter is required for fill_missing_constant.")
+            raise ValueError("fill_missing_constant: no columns were given")
         require_columns(df, names)
         return replace_columns(df, {c: F.coalesce(col(c), typed_value(c, dtype(df, c), self.value)) for c in names})
 
@@ -72,14 +72,14 @@ class FillStatistic(Transform):
     def fit(self, df: DataFrame) -> Fitted:
         names = as_list(self.columns)
         if not names:
-            raise ValueError(f"'columns' parameter is required for fill_missing_{self.statistic}.")
+            raise ValueError(f"fill_missing_{self.statistic}: no columns were given")
         require_columns(df, names)
         if self.statistic == "mode":
             values = column_modes(df, names)
         else:
             wrong = [c for c in names if not is_numeric(dtype(df, c))]
             if wrong:
-                raise ValueError(f"Cannot calculate {self.statistic} on non-numeric column '{wrong[0]}'.")
+                raise ValueError(f"non-numeric {wrong[0]!r} has no {self.statistic}")
             if self.statistic == "mean":
                 row = df.agg(*[F.avg(col(c)).cast("double").alias(f"m{i}") for i, c in enumerate(names)]).first()
                 values = {c: row[f"m{i}"] for i, c in enumerate(names)}
@@ -103,6 +103,6 @@ def fill_missing(strategy: str = "mean", **params: Any) -> Transform:
     if strategy == "constant":
         return FillConstant(**params)
     if strategy not in ("mean", "median", "mode"):
-        raise ValueError("strategy must be one of: mean, median, mode, constant.")
+        raise ValueError("fill_missing: known strategies are mean, median, mode and constant")
     params.pop("value", None)
     return FillStatistic(strategy, **params)

@@ -19,11 +19,11 @@ class RenameColumn(Transform):
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         mapping = self.mapping or ({self.old_name: self.new_name} if self.old_name and self.new_name else {})
         if not mapping:
-            raise ValueError("Either 'mapping' or 'old_name' and 'new_name' is required.")
+            raise ValueError("rename_column: give a mapping, or an old and a new name")
         require_columns(df, mapping)
         names = [mapping.get(c, c) for c in df.columns]
         if len(set(names)) < len(names):
-            raise ValueError(f"Renaming would give duplicate column names: {names}")
+            raise ValueError(f"after renaming, columns would share a name: {names}")
         return df.withColumnsRenamed(mapping)
 
 
@@ -34,11 +34,11 @@ class DropColumn(Transform):
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         gone = as_list(self.columns)
         if not gone:
-            raise ValueError("'columns' parameter is required.")
+            raise ValueError("no columns were given")
         require_columns(df, gone)
         kept = [c for c in df.columns if c not in gone]
         if not kept:
-            raise ValueError("Cannot drop all columns.")
+            raise ValueError("no column would be left")
         return df.select(*[col(c) for c in kept])
 
 
@@ -49,7 +49,7 @@ class SelectColumns(Transform):
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         wanted = as_list(self.columns)
         if not wanted:
-            raise ValueError("'columns' parameter is required.")
+            raise ValueError("no columns were given")
         require_columns(df, wanted)
         return df.select(*[col(c) for c in wanted])
 
@@ -61,8 +61,8 @@ class DuplicateColumn(Transform):
 
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         if not self.source_column or not self.new_column:
-            raise ValueError("'source_column' and 'new_column' are required.")
+            raise ValueError("duplicate_column: a source and a new name are to be given")
         require_columns(df, [self.source_column])
         if self.new_column in df.columns:
-            raise ValueError(f"Column '{self.new_column}' already exists.")
+            raise ValueError(f"the table has a column {self.new_column!r}; the copy needs another name")
         return df.withColumn(self.new_column, col(self.source_column))

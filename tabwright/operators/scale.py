@@ -14,11 +14,11 @@ from tabwright.operators.quantiles import exact_quantiles
 def _numeric(df: DataFrame, columns: list[str] | str, operation: str) -> list[str]:
     names = as_list(columns)
     if not names:
-        raise ValueError(f"'columns' parameter is required for {operation}.")
+        raise ValueError(f"{operation}: no columns were given")
     require_columns(df, names)
     wrong = [c for c in names if not is_numeric(dtype(df, c))]
     if wrong:
-        raise ValueError(f"{operation} needs numeric columns; '{wrong[0]}' is not.")
+        raise ValueError(f"{operation}: {wrong[0]!r} holds no numbers")
     return names
 
 
@@ -101,9 +101,9 @@ class HandleOutliers(Transform):
 
     def fit(self, df: DataFrame) -> Fitted:
         if self.method not in ("iqr", "zscore"):
-            raise ValueError("method must be one of: iqr, zscore.")
+            raise ValueError(f"method is {self.method!r}; known are iqr and zscore")
         if self.action not in ("clip", "remove"):
-            raise ValueError("action must be one of: clip, remove.")
+            raise ValueError(f"action is {self.action!r}; known are clip and remove")
         names = list(dict.fromkeys(_numeric(df, self.columns, "handle_outliers")))
         if self.action == "clip":
             return {"bounds": self.bounds(df, names)}

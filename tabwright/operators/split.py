@@ -49,22 +49,22 @@ class TrainTestSplit(Transform):
         df = df.drop(SPLIT_COLUMN)  # an earlier label is replaced
         test, val = float(self.test_size), float(self.validation_size)
         if not 0 <= test <= 1 or not 0 <= val <= 1:
-            raise ValueError("test_size and validation_size must be between 0 and 1.")
+            raise ValueError(f"parts of {test} and {val}: each may be 0 or more and less than 1")
         if test + val >= 1:
-            raise ValueError("test_size and validation_size must sum to less than 1.")
+            raise ValueError(f"parts of {test} and {val} leave nothing to train on")
         h1, h2 = shuffle_key(df, self.key(df), int(self.random_state)), tie_key(df)
         sizes = {}
 
         def cut_ranks(n: int) -> list[int]:
             if n < 5:
-                raise ValueError("Dataset too small for train/test split.")
+                raise ValueError("the table is too small to be split into these parts")
             sizes["n"], sizes["test"], sizes["val"] = n, round(n * test), round(n * val)
             sizes["train"] = n - sizes["test"] - sizes["val"]
             return [r for r in (sizes["train"], sizes["train"] + sizes["val"]) if r < n]
 
         _, at = values_at_ranks(df, {"h": h1}, cut_ranks)["h"] if df.columns else (0, {})
         if "n" not in sizes:
-            raise ValueError("Dataset too small for train/test split.")
+            raise ValueError("the table is too small to be split into these parts")
         cuts: list[list | None] = []
         known: dict[tuple[int, int], list] = {}
         for rank in (sizes["train"], sizes["train"] + sizes["val"]):

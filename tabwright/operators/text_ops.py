@@ -41,10 +41,10 @@ class ChangeCase(Transform):
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         change = CASES.get(self.case.lower())
         if change is None:
-            raise ValueError("case must be one of: lower, upper, title.")
+            raise ValueError(f"case is {self.case!r}; known are lower, upper and title")
         names = as_list(self.columns)
         if not names:
-            raise ValueError("'columns' parameter is required.")
+            raise ValueError("no columns were given")
         require_columns(df, names)
         return replace_columns(df, {c: change(col(c)) for c in names})
 
@@ -67,6 +67,6 @@ class ReplaceText(Transform):
     def apply(self, df: DataFrame, fitted: Fitted) -> DataFrame:
         names = as_list(self.columns)
         if not names:
-            raise ValueError("'columns' parameter is required.")
+            raise ValueError("no columns were given")
         require_columns(df, names)
         return replace_columns(df, {c: self.replaced(col(c)) for c in names})

@@ -59,9 +59,11 @@ WIDE = [*PRICES, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 add("chart_corr_wide", report("lineitem", ch.chart_corr_pearson, WIDE), _matrix(WIDE, "(SELECT corr({x}, {y}) FROM lineitem) AS value"))
 MIXED_COLUMNS = ["user_id", "value", "event_id"]
 _rank = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
-add("chart_corr_spearman", report("dirty_events", ch.chart_corr_spearman, MIXED_COLUMNS), _matrix(
+_spearman = _matrix(
     MIXED_COLUMNS,
-    f"(SELECT corr(a, b) FROM (SELECT CAST({_rank.format(c='{x}')} AS DOUBLE) AS a, CAST({_rank.format(c='{y}')} AS DOUBLE) AS b FROM dirty_events WHERE {{x}} IS NOT NULL AND {{y}} IS NOT NULL)) AS value"))
+    f"(SELECT corr(a, b) FROM (SELECT CAST({_rank.format(c='{x}')} AS DOUBLE) AS a, CAST({_rank.format(c='{y}')} AS DOUBLE) AS b FROM dirty_events WHERE {{x}} IS NOT NULL AND {{y}} IS NOT NULL)) AS value")
+add("chart_corr_spearman", report("dirty_events", ch.chart_corr_spearman, MIXED_COLUMNS), _spearman)
+add("chart_corr_spearman_ranges", report("dirty_events", ch.chart_corr_spearman, MIXED_COLUMNS, 1000), _spearman)
 add("chart_pair_plot", report("dirty_events", ch.chart_pair_plot, ["user_id", "value", "event_id"], 1000, "event_id"),
     "SELECT CAST(user_id AS DOUBLE) AS user_id, value, CAST(event_id AS DOUBLE) AS event_id FROM dirty_events WHERE value IS NOT NULL "
     "ORDER BY md5(concat_ws('|', '42', dirty_events.event_id)) LIMIT 1000")

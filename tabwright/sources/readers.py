@@ -166,7 +166,7 @@ def read_table(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     name = path.rstrip("/").rsplit("/", 1)[-1]
     extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if extension not in READERS:
-        raise ValueError(f"Unsupported file type '.{extension}': give one of {', '.join(READERS)}.")
+        raise ValueError(f"Unsupported ending .{extension}; files of {', '.join(READERS)} are read")
     if extension in ("csv", "txt"):
         df = _csv_table(spark, path, strict)
     elif extension == "json":
@@ -179,9 +179,9 @@ def read_table(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 def assert_non_empty(df: DataFrame) -> DataFrame:
     if not df.columns:
-        raise ValueError("Dataset has 0 columns.")
+        raise ValueError("a table of 0 columns holds nothing")
     if df.isEmpty():
-        raise ValueError("Dataset has 0 rows.")
+        raise ValueError("a table of 0 rows holds nothing")
     return df
 
 

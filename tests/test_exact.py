@@ -132,14 +132,14 @@ def test_split_through_copies(spark, monkeypatch):
 def test_spearman(spark, monkeypatch, ranges):
     from tabwright.operators import charts
 
-    monkeypatch.setattr(charts, "RANGE_ROWS", ranges)
+    monkeypatch.setattr(charts, "HOT_SHARE", 0.001 if ranges > 40 else 0.1)
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(0, 2, 600), 1)
     y = np.where(rng.random(600) < 0.4, 1.0, np.round(x + rng.normal(0, 1, 600), 1))
     rows = [(float(a) if i % 9 else None, float(b)) for i, (a, b) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "x double, y double").repartition(3)
     expected = df.toPandas().corr(method="spearman").loc["x", "y"]
-    assert spearman(df, [("x", "y")])[("x", "y")] == pytest.approx(expected, rel=1e-9)
+    assert spearman(df, [("x", "y")], ranges)[("x", "y")] == pytest.approx(expected, rel=1e-9)
     assert spearman(df.withColumn("y", F.lit(1.0)), [("x", "y")]) == {("x", "y"): None}
 
 

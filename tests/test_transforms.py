@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright import run_transform
+from tabwright.operators import encode
 from tabwright.operators.cast import CastType, cast_report
 from tabwright.operators.dedup import duplicate_count, head_sample, page_rows
 from tabwright.operators.dispatch import fit_transform, make_transform
@@ -259,3 +260,19 @@ def test_results_do_not_depend_on_partitioning(spark):
     ]:
         results = [sorted(map(tuple, run_transform(df.repartition(n, "o_custkey"), operation, params).collect())) for n in (1, 7)]
         assert results[0] == results[1] and results[0]
+
+
+def test_one_hot_bounds(spark, monkeypatch):
+    rows = [("a", 1), ("b", 2), ("b", 3), ("c", 4), ("c", 5), ("d", 6), (None, 7), ("other", 8)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    step = encode.OneHotEncode(["t"], max_categories=2, pick="frequent", other=True)
+    fitted = step.fit(df)
+    assert [m[1] for m in fitted["category_mapping"]] == ["b", "c"] and fitted["other_mapping"][0][2:] == ["t_other", 3]
+    got = {r["n"]: (r["t_b"], r["t_c"], r["t_other"]) for r in step.apply(df, fitted).collect()}
+    assert got[2] == (1, 0, 0) and got[6] == (0, 0, 1) and got[7] == (0, 0, 0)
+    assert [m[1] for m in encode.OneHotEncode(["t"], max_categories=3, order_by=["n"]).fit(df)["category_mapping"]] == ["a", "b", "c"]
+    monkeypatch.setattr(encode, "MAX_CATEGORIES", 3)
+    with pytest.raises(ValueError, match="more than 3 categories"):
+        run_transform(df, "one_hot_encode", {"columns": ["t"]})
+    with pytest.raises(ValueError, match="pick"):
+        run_transform(df, "one_hot_encode", {"columns": ["t"], "pick": "best"})
