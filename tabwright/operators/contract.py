@@ -13,9 +13,6 @@ from tabwright.functions.columns import as_text, col, dtype, is_float, is_intege
 from tabwright.functions.text import parses_as
 from tabwright.operators.facts import tall
 
-# A longer list of allowed values is joined instead of compared.
-INLINE_VALUES = 1_000
-BROADCAST_VALUES = 200_000
 SAMPLES = 5
 BATCH = 24
 
@@ -111,9 +108,6 @@ def _checks(df: DataFrame, contract: list[ExpectedColumn]) -> list[_Check]:
             elif e.expected == "date":
                 checks.append(_Check(e, "warning", "type_mismatch", None, always=True))
             continue
-        values = _enum_values(e)
-        if values and len(values) <= INLINE_VALUES:
-            checks.append(_Check(e, "warning", "enum_violation", c.isNotNull() & ~F.lower(text).isin(values)))
         if is_numeric(t) and (e.min_value is not None or e.max_value is not None):
             outside = F.lit(False)
             if e.min_value is not None:
@@ -150,23 +144,27 @@ def _samples(df: DataFrame, checks: list[_Check], counts: list[int]) -> dict[int
     return {i: "|".join(sorted(r["value"] for r in kept if r["column"] == str(i))) for i in hit}
 
 
-def _long_enums(df: DataFrame, contract: list[ExpectedColumn]) -> list[tuple]:
-    """Allowed-value lists too long to compare inline: an anti join with the list."""
-    out = []
-    for e in contract:
-        values = _enum_values(e)
-        if e.name not in df.columns or len(values) <= INLINE_VALUES or not is_compatible(dtype(df, e.name), e.expected):
-            continue
-        allowed = df.sparkSession.createDataFrame([(v,) for v in values], "value string")
-        if len(values) <= BROADCAST_VALUES:
-            allowed = F.broadcast(allowed)
-        seen = df.filter(col(e.name).isNotNull()).groupBy(as_text(e.name, dtype(df, e.name)).alias("text")).agg(F.count(F.lit(1)).alias("n"))
-        bad = seen.withColumn("value", F.lower("text")).join(allowed, "value", "left_anti")
-        n = bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        if n:
-            sample = "|".join(sorted(r["text"] for r in bad.select("text").orderBy("text").limit(SAMPLES).collect()))
-            out.append((e, "warning", "enum_violation", n, sample))
-    return out
+def _enums(df: DataFrame, contract: list[ExpectedColumn]) -> list[tuple]:
+    """Values beside the allowed ones, for all columns and lists of any length together.
+
+    The distinct values of a column, with their number, are joined to the lists; equal values
+    are added up in every task before they move.
+    """
+    lists = {str(i): _enum_values(e) for i, e in enumerate(contract) if e.name in df.columns and is_compatible(dtype(df, e.name), e.expected)}
+    lists = {i: values for i, values in lists.items() if values}
+    if not lists:
+        return []
+    of = lambda i: as_text(contract[int(i)].name, dtype(df, contract[int(i)].name))
+    seen = tall(df, list(lists), of).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    allowed = df.sparkSession.createDataFrame([(i, v) for i, values in lists.items() for v in values], "column string, low string")
+    bad = seen.withColumn("low", F.lower("value")).join(allowed, ["column", "low"], "left_anti")
+    counts = {r["column"]: r["n"] for r in bad.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    if not counts:
+        return []
+    first = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    kept = bad.withColumn("i", first).filter(F.col("i") <= SAMPLES).select("column", "value").collect()
+    sample = {i: "|".join(sorted(r["value"] for r in kept if r["column"] == i)) for i in counts}
+    return [(contract[int(i)], "warning", "enum_violation", counts[i], sample[i]) for i in lists if i in counts]
 
 
 @dataclass
@@ -198,7 +196,7 @@ def check_contract(df: DataFrame, contract: Iterable[ExpectedColumn]) -> Contrac
         if e.name in df.columns:
             status[e.name] = "matched" if is_compatible(dtype(df, e.name), e.expected) else "type_mismatch"
     found = [(k.column, k.severity, k.issue_type, counts[i], samples.get(i, "")) for i, k in enumerate(checks) if counts[i] or k.always]
-    for e, severity, kind, n, sample in found + _long_enums(df, contract):
+    for e, severity, kind, n, sample in found + _enums(df, contract):
         issues.append((e.name, severity, kind, e.expected, dtype(df, e.name).simpleString(), n, sample))
         if status[e.name] == "matched":
             status[e.name] = "constraint_violation"

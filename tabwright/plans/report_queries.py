@@ -204,6 +204,11 @@ add("contract_nulls", report("dirty_events", ct.contract_issues, CONTRACT, ["nul
 add("contract_type_mismatch", report("dirty_events", _issues_about("type_mismatch", ["amount_text"])), _checks["contract_type_mismatch"])
 add("contract_date_mismatch", report("dirty_events", _issues_about("type_mismatch", ["ts"])), _checks["contract_date_mismatch"])
 add("contract_enum", report("dirty_events", ct.contract_issues, CONTRACT, ["enum_violation"]), _checks["contract_enum"])
+_evens = ExpectedColumn("l_orderkey", "integer", allowed_values=tuple(range(0, 10_000, 2)))
+_odd = "l_orderkey % 2 = 1 OR l_orderkey >= 10000"
+add("contract_enum_long", report("lineitem", ct.contract_issues, [_evens], ["enum_violation"]),
+    "SELECT 'l_orderkey' AS \"column\", 'warning' AS severity, 'enum_violation' AS issue_type, 'integer' AS expected_type, 'bigint' AS actual_type, count(*) AS affected_rows, "
+    f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS v FROM lineitem WHERE {_odd} ORDER BY v LIMIT 5)) AS sample_values FROM lineitem WHERE {_odd}")
 add("contract_range", report("dirty_events", _issues_about("constraint_violation", ["value"])), _checks["contract_range"])
 add("contract_regex", report("dirty_events", _issues_about("constraint_violation", ["flag_text"])), _checks["contract_regex"])
 add("contract_missing", report("dirty_events", ct.contract_issues, CONTRACT, ["missing_column"]), _checks["contract_missing"])

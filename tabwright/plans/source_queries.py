@@ -14,10 +14,11 @@ from tabwright.operators.filters import FilterRows
 from tabwright.operators.scale import HandleOutliers
 from tabwright.plans.registry import add
 from tabwright.plans.views import table, view
+from tabwright.plans.report_queries import WORN
 from tabwright.session import scratch_dir
 from tabwright.sources import readers, writers
 from tabwright.sources.versions import VersionedTable, fingerprint
-from tabwright.streaming.stream import apply_to_stream, profile_stream
+from tabwright.streaming.stream import accumulate_stream, apply_to_stream, profile_stream, stream_duplicates, stream_totals
 
 # Text without line breaks or quotes, numbers, a boolean and null words.
 SHIPPED = """
@@ -249,6 +250,23 @@ add("profile_stream", _profile_stream,
     " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_count FROM events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")))
 
 
+def _accumulated(spark: SparkSession, sf_dir: str) -> str:
+    """The state of a stream of several micro-batches: a table in three files, one read at a time."""
+    rows, state = view(spark, sf_dir, "worn_orders"), scratch_dir(spark, "state")
+    source = scratch_dir(spark, "arriving")
+    rows.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    accumulate_stream(stream, state, scratch_dir(spark, "checkpoint")).awaitTermination()
+    return state
+
+
+add("stream_totals", lambda spark, sf_dir: stream_totals(spark, _accumulated(spark, sf_dir)), " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS count, count(*) - count({c}) AS missing_count, avg({c}) AS mean, stddev_pop({c}) AS std, "
+    f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM worn_orders" for c in ("o_custkey", "price", "constant_number")))
+add("stream_duplicates", lambda spark, sf_dir: stream_duplicates(spark, _accumulated(spark, sf_dir)),
+    "SELECT CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_count FROM (SELECT count(*) AS n FROM worn_orders GROUP BY " + ", ".join(WORN) + ")")
+
+
 def _transform_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fences fitted on the table, a filter, and both applied to the stream."""
     clip = HandleOutliers(["value"])

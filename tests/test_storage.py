@@ -11,7 +11,9 @@ from tabwright.operators.impute import FillStatistic
 from tabwright.session import scratch_dir
 from tabwright.sources import readers, writers
 from tabwright.sources.versions import VersionedTable, fingerprint
-from tabwright.streaming.stream import apply_to_stream, profile_stream
+from tabwright.operators.dedup import duplicate_count
+from tabwright.operators.profile import profile_numeric
+from tabwright.streaming.stream import accumulate_stream, apply_to_stream, profile_stream, stream_duplicates, stream_quantiles, stream_totals
 
 
 def write(tmp_path, name, text, encoding="utf-8"):
@@ -165,3 +167,24 @@ def test_encoding_of_each_file(spark, tmp_path):
     df = readers.read_table(spark, str(folder))
     assert dict(df.dtypes)["k"] == "bigint"
     assert sorted((r["k"], r["t"]) for r in df.collect()) == [(1, "caf\u00e9"), (2, "caf\u00e9")]
+
+
+def test_accumulated_stream(spark, tmp_path):
+    """Parts of several batches merge into what one batch measures, also after a restart."""
+    rows = [(i, float(i % 7) if i % 5 else None, "x" if i % 3 else None, float("nan")) for i in range(40)] * 2 + [(1, None, None, None)]
+    table = spark.createDataFrame(rows, "i int, v double, t string, n double")
+    table.repartition(3).write.parquet(f"{tmp_path}/in")
+    run = lambda: accumulate_stream(
+        spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/state", f"{tmp_path}/cp"
+    ).awaitTermination()
+    run()
+    table.limit(10).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    whole = spark.read.parquet(f"{tmp_path}/in")
+    expected = {r["column"]: r for r in profile_numeric(whole).collect()}
+    for r in stream_totals(spark, f"{tmp_path}/state").collect():
+        e = expected[r["column"]]
+        assert (r["count"], r.missing_count) == (e["count"], e.missing_count)
+        assert [r["mean"], r["std"], r["min"], r["max"]] == [None if x is None else pytest.approx(x) for x in (e["mean"], e["std"], e["min"], e["max"])]
+    assert {r["column"]: r["q1"] for r in stream_quantiles(spark, f"{tmp_path}/state").collect()}["i"] == pytest.approx(expected["i"]["median"], abs=1)
+    assert stream_duplicates(spark, f"{tmp_path}/state").first() == duplicate_count(whole).first()
