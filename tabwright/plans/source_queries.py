@@ -126,11 +126,12 @@ add("read_ndjson", lambda spark, sf_dir: readers.read_table(spark, written("json
 def _encoding_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One folder of documents in UTF-8, one in ISO-8859-1."""
     base = scratch_dir(spark, "encodings")
-    # Latin text only, so that both encodings can hold it; one line per document.
-    line = F.regexp_replace(F.regexp_replace("text", "[\\r\\n]+", " "), "[^\\x{20}-\\x{7e}\\x{a0}-\\x{ff}]", "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
-    for encoding in (readers.UTF8, readers.FALLBACK_ENCODING):
-        docs.select("doc_id", "line").write.csv(f"{base}/{encoding}", encoding=encoding, escape='"')
+    # One line per document; the narrower encoding gets the characters that it can hold.
+    line = F.regexp_replace("text", "[\\r\\n]+", " ")
+    latin = F.regexp_replace(line, "[^\\x{20}-\\x{7e}\\x{a0}-\\x{ff}]", "")
+    docs = table(spark, sf_dir, "documents")
+    for encoding, held in ((readers.UTF8, line), (readers.FALLBACK_ENCODING, latin)):
+        docs.select("doc_id", held.alias("line")).write.csv(f"{base}/{encoding}", encoding=encoding, escape='"')
     found = readers.encoding_audit(spark, base)
     folder = F.regexp_extract("file", "/(UTF-8|ISO-8859-1)/", 1)
     return found.groupBy(folder.alias("folder")).agg(F.sum("lines").alias("lines"), F.max("encoding").alias("encoding_max"), F.min("encoding").alias("encoding_min"), F.sum("invalid_lines").alias("invalid_lines"))

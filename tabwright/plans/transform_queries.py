@@ -93,6 +93,11 @@ def _page_by_array(spark, sf_dir):
 
 
 add("page_rows_nested", _page_by_array, "SELECT vec_id, label FROM embeddings ORDER BY embedding, vec_id LIMIT 40 OFFSET 80")
+# Beyond the first rows, pages are found by exact selection, here within arrays and structs.
+add("page_rows_nested_deep", lambda spark, sf_dir: page_rows(
+    view(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "array(o_custkey % 50, o_orderkey % 7) AS bag", "named_struct('s', o_orderstatus, 'p', o_orderpriority) AS pair"),
+    120, 100, ["bag", "pair", "o_orderkey"]).select("o_orderkey", "o_custkey"),
+    "SELECT o_orderkey, o_custkey FROM orders ORDER BY [o_custkey % 50, o_orderkey % 7], o_orderstatus, o_orderpriority, o_orderkey LIMIT 100 OFFSET 11900")
 add("duplicate_count_texts", report("documents", lambda df: duplicate_count(df.select("text", "lang", "source"))),
     "SELECT (SELECT count(*) FROM documents) AS row_count, (SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS duplicate_count")
 add("head_sample", report("dirty_events", head_sample, ["event_type", "event_id"]),

@@ -21,6 +21,8 @@ from tabwright.functions.columns import as_text
 from tabwright.operators.dispatch import fit_transform, transform_summary
 from tabwright.operators.profile import null_counts
 
+LOG_BLOCK = 1000  # entries of the version log that are looked at together
+
 VERSIONS = (
     "version_number bigint, branch_name string, parent_version bigint, path string, row_count bigint, column_count bigint, "
     "schema_json string, operation string, params_json string, created_at timestamp"
@@ -184,14 +186,19 @@ class VersionedTable:
         return fingerprint(self.read(version))
 
     def lineage(self, version: int | None = None) -> list[tuple[str, dict]]:
-        """The operations from the first version to the given one."""
-        rows = {r["version_number"]: r for r in self._log("versions", VERSIONS).collect()}
-        at = rows.get(self.current() if version is None else version)
-        steps: list[tuple[str, dict]] = []
-        while at is not None:
-            if at["operation"] not in ("upload", "branch"):
-                steps.append((at["operation"], json.loads(at["params_json"])))
-            at = rows.get(at["parent_version"])
+        """The operations from the first version to the given one. The log is read in blocks of
+        version numbers, backwards, and only as far as the ancestors go."""
+        number = self.current() if version is None else version
+        log, steps = self._log("versions", VERSIONS), []
+        while number is not None:
+            block = log.filter(F.col("version_number").between(number - LOG_BLOCK + 1, number)).collect()
+            rows = {r["version_number"]: r for r in block}
+            if number not in rows:
+                break
+            while (at := rows.get(number)) is not None:
+                if at["operation"] not in ("upload", "branch"):
+                    steps.append((at["operation"], json.loads(at["params_json"])))
+                number = at["parent_version"]
         return steps[::-1]
 
     def replay(self, df: DataFrame, version: int | None = None) -> DataFrame:
