@@ -266,7 +266,11 @@ def leak_free(index: Broadcast):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows whose text leaks no benchmark item, columns unchanged."""
+    """The rows whose text leaks no benchmark item, columns unchanged.
+
+    A null or empty text leaks nothing; ids are not read; repeated rows stay or go together; items
+    that are null or empty match no text, and an empty benchmark drops nothing.
+    """
     small_batches(docs.sparkSession)
     names = docs.columns
     for index in indexes(benchmark, item_col, item_text_col):

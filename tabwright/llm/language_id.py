@@ -167,7 +167,12 @@ def identify(
 
 
 def reject_unknown(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text has a language that the model holds likely, with their columns unchanged."""
+    """The rows whose text has a language that the model holds likely, with their columns unchanged.
+
+    Texts that are null, empty or without a letter have no language and go, as do all rows where
+    no labelled text was there to learn from; a null id or label plays no part; repeated rows
+    stay or go together; long texts are read whole.
+    """
     predict = predictor(fit(docs, id_col, text_col, lang_col))
     names = docs.columns
     kept = docs.select("*", predict(column(text_col).cast("string")).alias("__language"))

@@ -99,7 +99,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows with repeated passages taken out, their columns as before and ``n_chars`` counted
-    anew; rows that consisted of repeated passages alone are dropped."""
+    anew; rows that consisted of repeated passages alone are dropped.
+
+    A null or empty text has no line that repeats, so its row stays as it is. Of repeated rows
+    and of passages in texts that tie, the place with the least id stays, null first.
+    """
     cleaned = dedup_lines(docs, id_col, text_col).filter((F.col("removed_lines") == 0) | column(text_col).rlike(r"\S"))
     names = {c: F.when(F.col("removed_lines") > 0, F.char_length(column(text_col)).cast("bigint")).otherwise(column(c)) if c == chars_col else column(c) for c in docs.columns}
     return cleaned.select(*[expr.alias(c) for c, expr in names.items()])
