@@ -259,10 +259,13 @@ class Measured:
 def measure_all(df: DataFrame) -> Measured:
     """Numbers are read three times, texts once, and once more if they may be constant or are
     mixed; copies of rows are counted apart."""
-    table = fx.measure(df, sketch=True)
-    fx.find_dirt(df, table, [c for c, f in table.columns.items() if is_mixed(f)])
-    quarts, outliers = fx.quartiles_and_outliers(df, table, numeric_columns(df))
-    return Measured(table, fx.duplicates(df), outliers, quarts, {})
+    def numbers_and_texts() -> tuple:
+        table = fx.measure(df, sketch=True)
+        mixed = [c for c, f in table.columns.items() if is_mixed(f)]
+        return table, *fx.together(lambda: fx.quartiles_and_outliers(df, table, numeric_columns(df)), lambda: fx.find_dirt(df, table, mixed))
+
+    (table, (quarts, outliers), _), copies = fx.together(numbers_and_texts, lambda: fx.duplicates(df))
+    return Measured(table, copies, outliers, quarts, {})
 
 
 def issue_rows(m: Measured) -> list[tuple]:
