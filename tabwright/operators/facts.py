@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tabwright.functions.columns import (
     INFINITY, as_text, categorical_columns, col, dtype, finite, is_date, is_float, is_nested, is_numeric, normalize_non_finite, order_keys,
@@ -180,11 +180,11 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {c: found.get(c, 0) for c in columns}
 
 
-def together(*jobs: Callable[[], object]) -> list:
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
     """Results of jobs that do not need each other, submitted at once so that none leaves
     executors idle for the others."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def duplicates(df: DataFrame) -> int:

@@ -262,9 +262,9 @@ def measure_all(df: DataFrame) -> Measured:
     def numbers_and_texts() -> tuple:
         table = fx.measure(df, sketch=True)
         mixed = [c for c, f in table.columns.items() if is_mixed(f)]
-        return table, *fx.together(lambda: fx.quartiles_and_outliers(df, table, numeric_columns(df)), lambda: fx.find_dirt(df, table, mixed))
+        return table, *fx.together(df.sparkSession, lambda: fx.quartiles_and_outliers(df, table, numeric_columns(df)), lambda: fx.find_dirt(df, table, mixed))
 
-    (table, (quarts, outliers), _), copies = fx.together(numbers_and_texts, lambda: fx.duplicates(df))
+    (table, (quarts, outliers), _), copies = fx.together(df.sparkSession, numbers_and_texts, lambda: fx.duplicates(df))
     return Measured(table, copies, outliers, quarts, {})
 
 
