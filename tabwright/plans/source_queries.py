@@ -54,12 +54,13 @@ _NULL_WORDS = "('', 'NA', 'N/A', 'null', 'NULL', 'None', 'nan', 'NaN')"
 
 def _read_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with line breaks, quotes and commas, through a delimited file and back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents")
     return readers.read_table(spark, written("csv", lambda *_: docs)(spark, sf_dir))
 
 
 add("read_csv_multiline", _read_csv_multiline,
-    f"SELECT doc_id, CASE WHEN text NOT IN {_NULL_WORDS} THEN text END AS text, CASE WHEN lang NOT IN {_NULL_WORDS} THEN lang END AS lang FROM documents")
+    f"SELECT doc_id, CASE WHEN text NOT IN {_NULL_WORDS} THEN text END AS text, CASE WHEN lang NOT IN {_NULL_WORDS} THEN lang END AS lang, "
+    f"CASE WHEN source NOT IN {_NULL_WORDS} THEN source END AS source, n_chars FROM documents")
 
 
 def _read_csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:

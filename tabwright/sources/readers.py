@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tabwright.functions.columns import col, string_columns
 from tabwright.functions.text import NUMBER, WHOLE_NUMBER, null_tokens_to_null
+from tabwright.session import scratch_dir
+from tabwright.sources.records import csv_records, json_elements
 
 CORRUPT = "_corrupt_record"
 BOOLEAN_TEXT = "(?i)^(?:true|false)$"
@@ -118,14 +120,19 @@ def read_json(spark: SparkSession, path: str | list[str], encoding: str = UTF8)
     """Files that hold an array of objects, or one object per line; each file is told apart by
     its own first character, and a folder may mix both.
 
-    An array has no line structure, so each such file is read in one task; large data
-    should come as one object per line.
+    Arrays are cut into their elements by many tasks and written once, one object per line, to
+    the shared scratch folder. A comma that is missing or surplus between two lines of an array is
+    not noticed; brackets that do not close, and elements that are no JSON, are errors.
     """
     start = F.substring(F.ltrim("value"), 1, 1)
     files = _files_where(spark, path, F.min_by(start, F.when(start != "", F.col("place"))))
     arrays = files.pop("[", [])
     lines = [f for own in files.values() for f in own]
-    parts = [spark.read.json(arrays, multiLine=True, encoding=encoding, mode="FAILFAST")] if arrays else []
+    parts = []
+    if arrays:
+        own = scratch_dir(spark, "elements")
+        json_elements(spark, arrays, encoding).write.text(own)
+        parts.append(read_ndjson(spark, own))
     return _union(parts + ([read_ndjson(spark, lines, encoding)] if lines or not parts else []))
 
 
@@ -141,17 +148,38 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _csv_table(spark: SparkSession, path: str, strict: bool) -> DataFrame:
     """Delimited text whose files may differ in encoding and in having line breaks within quotes.
 
-    A line with an odd number of quotes opens or closes a cell that goes over lines; only files
-    with such lines are read whole by one task each.
+    A line with an odd number of quotes may open or close a cell that goes over lines. Files with
+    such lines are cut into records by many tasks.
     """
     odd = F.pmod(F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit(""))), F.lit(2)) == 1
     broken = F.when(F.bool_or(odd), F.lit(" broken")).otherwise(F.lit(""))
     kinds = sorted(_files_where(spark, path, F.concat(_encoding(), broken)).items()) or [(UTF8, [path])]
     mode = "FAILFAST" if strict else "PERMISSIVE"
-    raw = _union([_raw_csv(spark, files, kind.removesuffix(" broken"), kind.endswith(" broken"), mode=mode) for kind, files in kinds])
+    parts = []
+    for kind, files in kinds:
+        encoding = kind.removesuffix(" broken")
+        parts += [_raw_csv(spark, files, encoding, mode=mode)] if kind == encoding else _broken_csv(spark, files, encoding, mode)
+    raw = _union(parts)
     return apply_types(raw, infer_types(raw))
 
 
+def _broken_csv(spark: SparkSession, files: list[str], encoding: str, mode: str) -> list[DataFrame]:
+    """Files with line breaks within cells, by their records. A file whose lines end with carriage
+    returns alone is read in one task."""
+    header = spark.read.csv(files, header=True, encoding=encoding, multiLine=True, escape='"').columns
+    records, uncut = csv_records(spark, files, encoding)
+    own = scratch_dir(spark, "records")  # types are looked for in all rows, so records would be cut twice
+    records.select("value").write.parquet(own)
+    records = spark.read.schema("value string").parquet(own)
+    cells = ", ".join(f"c{i} string" for i in range(len(header)))
+    row = F.from_csv("value", cells, {"escape": '"', "mode": mode, "multiLine": "true"})
+    cut = records.select(row.alias("r")).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(header)])
+    if encoding == FALLBACK_ENCODING:
+        cut = cut.select(*[F.translate(col(c), CONTROLS, SIGNS).alias(c) for c in header])
+    whole = [_raw_csv(spark, [unquote(f) for f in uncut], encoding, True, mode=mode)] if uncut else []
+    return whole + ([null_tokens(cut)] if len(uncut) < len(files) else [])
+
+
 def _encoding() -> Column:
     return F.when(F.bool_and(F.is_valid_utf8("value")), UTF8).otherwise(FALLBACK_ENCODING)
 
