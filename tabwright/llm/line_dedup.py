@@ -67,8 +67,17 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _left_over(text: Column, spans: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists(spans, lambda s: (s["first"] <= i + 1) & (i + 1 <= s["last"])))
-    return F.array_join(lines, "\n")
+    """The text without the spans, which are in order and apart: the stretches between them, joined."""
+    count = F.size(spans)
+
+    def stretch(lines: Column, k: Column) -> Column:
+        begin = F.when(k == 0, 1).otherwise(F.try_element_at(spans, F.nullif(k, F.lit(0)))["last"] + 1)
+        end = F.when(k == count, F.size(lines)).otherwise(F.try_element_at(spans, k + 1)["first"] - 1)
+        return F.slice(lines, begin, end - begin + 1)
+
+    # The outer list of one holds the lines, so that the text is split once and not for every stretch.
+    kept = F.transform(F.array(F.split(text, "\n")), lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), count), lambda k: stretch(lines, k))))
+    return F.array_join(F.element_at(kept, 1), "\n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

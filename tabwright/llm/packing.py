@@ -7,6 +7,7 @@ from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -61,21 +62,20 @@ class Plan:
     slots: dict[int, tuple[list[int], list[int], list[int]]] = field(default_factory=dict)  # length: first ranks, first sequences, offsets
     gaps: list[tuple[int, int, int, int]] = field(default_factory=list)  # start in the stream of fillers, room, first sequence, offset
     filled: int = 0  # ids of the stream that lie in gaps
-    tail: int = 0  # sequence of what is left of the last filler
+    tail: int = 0  # sequence of what is left of the stream
+    opened: bool = False  # whether rests are fillers as well: their sequence is -1, their offset a place in the stream
 
-    def filler(self, rank: int) -> Iterator[tuple[int, int, int, int]]:
-        """``(start, length, sequence, offset)`` of the cuts of a filler piece."""
-        begin = (rank - self.first_filler) * self.size
-        at, end = begin, begin + self.size
-        starts = [g[0] for g in self.gaps]
+    def cuts(self, begin: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """``(start, length, sequence, offset)`` of the cuts of a filler piece that begins there in the stream."""
+        at, end = begin, begin + length
         while at < min(end, self.filled):
-            start, room, sequence, offset = self.gaps[bisect_right(starts, at) - 1]
+            start, room, sequence, offset = self.gaps[bisect_right(self.gaps, at, key=itemgetter(0)) - 1]
             number, within = divmod(at - start, room)
-            length = min(room - within, end - at, self.filled - at)
-            yield at - begin, length, sequence + number, offset + within
-            at += length
+            part = min(room - within, end - at, self.filled - at)
+            yield at - begin, part, sequence + number, offset + within
+            at += part
         if at < end:
-            yield at - begin, end - at, self.tail, 0
+            yield at - begin, end - at, self.tail, at - self.filled
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -113,27 +113,47 @@ def make_plan(histogram: dict[int, int], fulls: int, size: int) -> Plan:
     """Packing patterns of the rests, and gaps that full pieces are cut for.
 
     A pack that is neither full nor a power of two would be padded; documents may be cut
-    anywhere, so as many full pieces as the gaps hold are cut to fill them.
+    anywhere, so as many full pieces as the gaps hold are cut to fill them. If there are too few, the
+    emptiest packs are taken apart, and their rests are cut for the gaps of the others.
     """
     patterns = shortest_pack_first({k: n for k, n in histogram.items() if n}, size)
     room = {i: size - sum(p) for i, (_, p) in enumerate(patterns) if sum(p) & (sum(p) - 1)}
     wanted = sum(patterns[i][0] * r for i, r in room.items())
     fillers = min(fulls, -(-wanted // size))
-    plan = Plan(size, fulls - fillers, fulls - fillers, filled=min(wanted, fillers * size))
-    sequence, taken, stream = plan.fulls, Counter(), 0
+    # Each pack that is taken apart closes its own gap and gives its ids: ``size`` in all.
+    surplus = max(0, -(-(wanted - fillers * size) // size))
+    apart: dict[int, int] = {}
+    for i in sorted(room, key=room.get, reverse=True):
+        apart[i] = min(surplus, patterns[i][0])
+        surplus -= apart[i]
+    wanted -= sum(n * room[i] for i, n in apart.items())
+    stream = fillers * size
+    plan = Plan(size, fulls - fillers, fulls - fillers, opened=any(apart.values()))
+    sequence, taken, gap = plan.fulls, Counter(), 0
+
+    def slot(length: int, packs: int, first: int, offset: int) -> None:
+        ranks, sequences, offsets = plan.slots.setdefault(length, ([], [], []))
+        ranks.append(taken[length])
+        sequences.append(first)
+        offsets.append(offset)
+        taken[length] += packs
+
     for i, (packs, pattern) in enumerate(patterns):
-        offset = 0
-        for length in pattern:
-            ranks, sequences, offsets = plan.slots.setdefault(length, ([], [], []))
-            ranks.append(taken[length])
-            sequences.append(sequence)
-            offsets.append(offset)
-            taken[length] += packs
-            offset += length
-        if room.get(i):
-            plan.gaps.append((stream, room[i], sequence, offset))
-            stream += packs * room[i]
-        sequence += packs
+        packs -= apart.get(i, 0)
+        if packs:
+            offset = 0
+            for length in pattern:
+                slot(length, packs, sequence, offset)
+                offset += length
+            if room.get(i):
+                plan.gaps.append((gap, room[i], sequence, offset))
+                gap += packs * room[i]
+            sequence += packs
+        if apart.get(i):
+            for length in pattern:
+                slot(length, apart[i], -1, stream)
+                stream += apart[i] * length
+    plan.filled = min(wanted, stream)
     plan.tail = sequence
     return plan
 
@@ -162,7 +182,8 @@ def pack_tokens(tokens: DataFrame, size: int) -> DataFrame:
             here = np.flatnonzero(lengths == length)
             firsts, sequences, offsets = (np.array(x, np.int64) for x in plan.slots[length])
             at = np.searchsorted(firsts, ranks[here], "right") - 1
-            sequence[here], offset[here] = sequences[at] + ranks[here] - firsts[at], offsets[at]
+            nth, filler = ranks[here] - firsts[at], sequences[at] < 0
+            sequence[here], offset[here] = np.where(filler, -1, sequences[at] + nth), offsets[at] + filler * nth * length
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     names = ["task", "row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -176,34 +197,45 @@ def pack_tokens(tokens: DataFrame, size: int) -> DataFrame:
         .filter(F.col("sequence_id") < plan.fulls)
         .select("task", "row", "doc_id", (F.col("k").cast("bigint") * size).alias("start"), F.lit(size).cast("bigint").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("bigint").alias("offset"))
     )
-    rest = (
-        narrow.filter("rest > 0").join(bases.select("task", F.col("length").alias("rest"), "base"), ["task", "rest"])
-        .withColumn("p", place("rest", F.col("base") + F.col("rest_rank")))
-        .select("task", "row", "doc_id", (F.col("full") * size).alias("start"), F.col("rest").cast("bigint").alias("length"), F.try_element_at("crcs", F.lit(-1)).alias("ids_crc32"), "doc_tokens", "p.sequence_id", "p.offset")
+    def placed(pieces: DataFrame) -> DataFrame:
+        return pieces.filter("rest > 0").join(bases.select("task", F.col("length").alias("rest"), "base"), ["task", "rest"]).withColumn("p", place("rest", F.col("base") + F.col("rest_rank")))
+
+    rest = placed(narrow).filter("p.sequence_id >= 0").select(
+        "task", "row", "doc_id", (F.col("full") * size).alias("start"), F.col("rest").cast("bigint").alias("length"), F.try_element_at("crcs", F.lit(-1)).alias("ids_crc32"), "doc_tokens", "p.sequence_id", "p.offset"
     )
-    if plan.fulls == fulls:
-        return whole.unionByName(rest)
+    made = whole.unionByName(rest)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cuts of the pieces that begin at ``first`` and later in their document, ``length`` ids each."""
         for batch in batches:
-            made: list[list] = [[] for _ in names]
+            rows: list[list] = [[] for _ in names]
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], "<u4")
-                for k in range(r["full"]):
-                    rank = r["full_base"] + r["full_rank"] + k
-                    if rank >= plan.first_filler:
-                        for start, length, sequence, offset in plan.filler(rank):
-                            at = k * size + start
-                            row = (r["task"], r["row"], r["doc_id"], at, length, zlib.crc32(ids[at : at + length].tobytes()), r["doc_tokens"], sequence, offset)
-                            for column, value in zip(made, row):
-                                column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "task" else pa.int64()) for c, n in zip(made, names)], names)
-
+                for k in range(r["pieces"]):
+                    begin = r["stream"] + k * size
+                    if begin < 0:  # a full piece before the first filler
+                        continue
+                    for start, length, sequence, offset in plan.cuts(begin, r["length"]):
+                        at = r["first"] + k * size + start
+                        row = (r["task"], r["row"], r["doc_id"], at, length, zlib.crc32(ids[at : at + length].tobytes()), r["doc_tokens"], sequence, offset)
+                        for column, value in zip(rows, row):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "task" else pa.int64()) for c, n in zip(rows, names)], names)
+
+    def fillers(pieces: DataFrame, first: Column, length: Column, number: Column, stream: Column) -> DataFrame:
+        columns = [first.alias("first"), length.cast("bigint").alias("length"), number.cast("bigint").alias("pieces"), stream.alias("stream")]
+        return pieces.select("task", "row", "doc_id", "doc_tokens", "ids", *columns).mapInArrow(cut, whole.schema)
+
+    if plan.opened:
+        opened = placed(tokens).filter("p.sequence_id < 0")
+        made = made.unionByName(fillers(opened, F.col("full") * size, F.col("rest"), F.lit(1), F.col("p.offset")))
+    if plan.fulls == fulls:
+        return made
     # Fillers are the last full pieces; the filter on tasks lets the scan skip the other files.
     least = full_bases.filter(F.col("full_base") + F.col("n") > plan.first_filler).agg(F.min("task")).first()[0]
-    fillers = tokens.filter((F.col("task") >= least) & (F.col("full") > 0)).join(full_bases, "task").filter(F.col("full_base") + F.col("full_rank") + F.col("full") > plan.first_filler)
-    cuts = fillers.select("task", "row", "doc_id", "doc_tokens", "full", "full_rank", "full_base", "ids").mapInArrow(cut, whole.schema)
-    return whole.unionByName(rest).unionByName(cuts)
+    rank = F.col("full_base") + F.col("full_rank")
+    cut_up = tokens.filter((F.col("task") >= least) & (F.col("full") > 0)).join(full_bases, "task").filter(rank + F.col("full") > plan.first_filler)
+    return made.unionByName(fillers(cut_up, F.lit(0).cast("bigint"), F.lit(size), F.col("full"), (rank - plan.first_filler) * size))
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,8 +243,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, id_col: str = "doc_i
 
     A document is its token ids and id 0, so a null or empty text is one id. Whole pieces of
     ``size`` ids are sequences; the rests are packed by the length histogram, and the gaps of
-    packs that would be padded are filled with cuts of some whole pieces. Every id lies in one
-    piece; padding is left in one sequence only, unless there are too few whole pieces. Ids may
+    packs that would be padded are filled with cuts of some whole pieces, or of the rests of some
+    packs where whole pieces run out. Every id lies in one piece; one sequence at most is padded. Ids may
     be null or repeat: rows are told apart by task and row number. Other columns are not read.
 
     The driver sees one count per length. Ranks come from counts per task and length, so no

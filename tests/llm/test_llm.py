@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from tabwright.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, packing, sharding, url_filter, warc
 from tabwright.llm.components import components
@@ -120,10 +122,14 @@ def test_sharding(docs, none):
 def test_packing(docs, none, library, size):
     assert packing.pack(none, TOKENIZER, size).count() == 0
     tokens = packing.tokenise(docs, TOKENIZER, size)
-    pieces = packing.pack_tokens(tokens, size)
-    texts = {(r["task"], r["row"]): r["doc_id"] for r in tokens.collect()}
+    made = packed_well(tokens, packing.pack_tokens(tokens, size), size)
+    assert made == Counter((d, len(ids_of(library, t or "")) + 1) for d, t, _ in ROWS)
+
+
+def packed_well(tokens, pieces, size):
+    """Every id in one piece, sequences without holes, one at most padded; the documents' sizes."""
     rows = pieces.collect()
-    assert len(texts) == len(ROWS)
+    assert len({(r["task"], r["row"]) for r in rows}) == tokens.count()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["task"], r["row"]].append(r)
@@ -136,7 +142,6 @@ def test_packing(docs, none, library, size):
             at += r["length"]
         assert at == own[0]["doc_tokens"]
         made[own[0]["doc_id"], at] += 1
-    assert made == Counter((d, len(ids_of(library, t or "")) + 1) for d, t, _ in ROWS)
     for own in by_sequence.values():
         at = 0
         for r in sorted(own, key=lambda r: r["offset"]):
@@ -148,6 +153,15 @@ def test_packing(docs, none, library, size):
     built = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in packing.sequences(tokens, pieces).collect()}
     for r in rows:
         assert zlib.crc32(built[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tobytes()) == r["ids_crc32"]
+    return made
+
+
+@pytest.mark.parametrize("words", [[38], [40, 37, 33, 90], [60, 5, 33]])
+def test_packing_short_documents(spark, words):
+    """Where whole pieces run out, rests are cut; whether whole pieces are there or not."""
+    docs = spark.createDataFrame([(i, " a" * words[i % len(words)]) for i in range(400)], "doc_id bigint, text string").repartition(5)
+    tokens = packing.tokenise(docs, TOKENIZER, 64)
+    assert sum(packed_well(tokens, packing.pack_tokens(tokens, 64), 64).values()) == 400
 
 
 def test_warc(spark, monkeypatch):
@@ -203,6 +217,23 @@ def test_language_accuracy(spark):
 
 
 
+def test_lines_left_over_in_linear_time(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in (1, 2, 7, 40):
+        for _ in range(20):
+            gone = [i for i in range(1, n + 1) if rng.random() < 0.5]
+            spans = [(i, i) for i in gone if i - 1 not in gone]
+            spans = [(a, next(i for i in range(a, n + 2) if i + 1 not in gone)) for a, _ in spans]
+            rows.append(("\n".join(f"l{i}" for i in range(1, n + 1)), spans, "\n".join(f"l{i}" for i in range(1, n + 1) if i not in gone)))
+    many = 100_000
+    rows.append(("\n".join(map(str, range(2 * many))), [(2 * i + 1, 2 * i + 1) for i in range(many)], "\n".join(str(2 * i + 1) for i in range(many))))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<first: int, last: int>>, expected string").filter("size(spans) > 0")
+    begun = time.monotonic()
+    assert df.filter(line_dedup._left_over(F.col("text"), F.col("spans")) != F.col("expected")).count() == 0
+    assert time.monotonic() - begun < 60
+
+
 def test_line_dedup(spark, none):
     rng = random.Random(3)
     passages = [[f"shared line number {i} of the passage {p}" for i in range(12)] for p in range(6)]
