@@ -143,6 +143,25 @@ def test_spearman(spark, monkeypatch, ranges):
     assert spearman(df.withColumn("y", F.lit(1.0)), [("x", "y")]) == {("x", "y"): None}
 
 
+@pytest.mark.parametrize("task_rows, files", [(2_000_000, 1), (1500, 4)])
+def test_small_rank_ranges_share_tasks(spark, monkeypatch, task_rows, files):
+    """The number of tasks and files does not grow with the number of ranges."""
+    from tabwright.operators import charts
+
+    monkeypatch.setattr(charts, "TASK_ROWS", task_rows)
+    counts = spark.range(3000).selectExpr("CAST(id % 2 AS INT) AS p", "0 AS side", "CAST(id * 7919 % 3000 AS DOUBLE) AS value", "id % 3 + 1 AS n")
+    stored = charts._ranged_counts(counts, 6000, 10)
+    assert len(stored.inputFiles()) <= files
+    rows = sorted(map(tuple, stored.select("p", "value", "n", "range", "passed").collect()))
+    assert len(rows) == 3000 and 300 <= len({(r[0], r[3]) for r in rows}) <= 300 + 2 * files
+    for p in (0, 1):
+        passed = before = 0
+        for (_, value, n, at, start), (_, _, _, last, _) in zip([r for r in rows if r[0] == p], [(None, None, None, None, None), *[r for r in rows if r[0] == p]]):
+            before = passed if at != last else before
+            assert start == before
+            passed += n
+
+
 def test_scans_of_the_measuring_pass(spark):
     """Numbers are read three times, whatever their number; outliers are counted along."""
     from tabwright.operators import facts, profile
