@@ -246,3 +246,31 @@ def test_samples_by_threshold(spark):
         assert got == set(want)
     assert charts.sample_rows(table, 500, "k").count() == 500  # a third of the rows share a key
     assert charts.generate_chart(table, "missing_heatmap", sample_size=150).count() == 450
+
+
+def test_pearson_of_many_columns(spark, monkeypatch):
+    """All pairs are added up together; only pairs far from the means are measured on their own."""
+    rng = np.random.default_rng(8)
+    shared = rng.normal(size=400)
+    columns = {f"c{i}": np.where(rng.random(400) < 0.1, np.nan, 10.0 ** (i % 9) * (3 + shared + rng.normal(size=400))) for i in range(30)}
+    columns["whole"] = rng.integers(0, 9, 400).astype(float)
+    columns["stuck"] = np.where(np.isnan(columns["c0"]), rng.normal(size=400), 0.1)  # constant beside c0
+    columns["apart"] = np.where(np.isnan(columns["c1"]), -1e9, rng.normal(size=400))  # far from its mean beside c1
+    columns["constant"], columns["missing"] = np.full(400, 0.1), np.full(400, np.nan)
+    names = list(columns)
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*columns.values())]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(3)
+    single, alone = charts._around_means, []
+    monkeypatch.setattr(charts, "_around_means", lambda df, pairs: alone.extend(pairs) or single(df, pairs))
+    got = {(r.x, r.y): r.value for r in charts.chart_corr_pearson(table, names).collect()}
+    for x in names:
+        for y in names:
+            both = ~np.isnan(columns[x]) & ~np.isnan(columns[y])
+            a, b = columns[x][both], columns[y][both]
+            if not both.any() or np.ptp(a) == 0 or np.ptp(b) == 0:
+                assert got[x, y] is None
+            else:
+                assert got[x, y] == pytest.approx(np.corrcoef(a, b)[0, 1], rel=1e-9, abs=1e-12)
+    hard = {tuple(names[i] for i in pair) for pair in alone}
+    assert {("c0", "stuck"), ("c1", "apart")} <= hard and all({"stuck", "apart"} & set(pair) for pair in hard)
+    assert {r.value for r in charts.chart_corr_pearson(table.limit(0), names).collect()} == {None}
