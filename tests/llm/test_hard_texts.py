@@ -58,3 +58,24 @@ def test_prefixes_around_special_strings(library, counter):
         assert counter.prefixes(text).tolist() == counts
         for budget in {0, 1, 2, *counts}:
             assert counter.longest_prefix(text, budget) == max(k for k, n in enumerate(counts) if n <= budget)
+
+
+def test_count_and_cut_in_one(library, monkeypatch):
+    """Words are counted once: a long text is not split again to find the cut."""
+    rng = random.Random(10)
+    letters = ["ab", "ka", "élan", "日本", "ße", "x", "tion", "𝒳", "Ⅷ", "²", "12", "_", "'s", "\n", "\t\n", "\u0301", ",", "!", "...", "😀", "\x1c"]
+    counter = bpe.TokenCounter(TOKENIZER)
+    for round in range(150):
+        common = letters[: 7 if round % 2 else None]
+        text = " ".join("".join(rng.choice(common) for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", ".", ",\n"]) for _ in range(rng.randrange(1, 16)))
+        counts = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        for budget in {0, 1, counts[-1] // 2, rng.randrange(counts[-1] + 1), counts[-1] - 1, counts[-1]}:
+            assert counter.count_and_cut(text, budget) == (counts[-1], max(k for k, n in enumerate(counts) if n <= budget))
+    assert counter.count_and_cut("", 3) == (0, 0)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000))
+    split, seen = bpe.split, []
+    monkeypatch.setattr(bpe, "split", lambda t: seen.append(len(t)) or split(t))
+    n, cut = counter.count_and_cut(text, 1024)
+    assert sum(seen) < 200
+    assert n == len(library.encode(text, add_special_tokens=False).ids)
+    assert len(library.encode(text[:cut], add_special_tokens=False).ids) <= 1024 < len(library.encode(text[: cut + 1], add_special_tokens=False).ids)
